@@ -6,12 +6,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import decontamination, language_id
+from glyphmill.llm import decontamination, jaccard_join, language_id, sentencepiece_codec, suffix_dedup
 from glyphmill.llm.session import shared
 
-STAGES = [("language_id", language_id.stage), ("decontamination", decontamination.stage)]
+STAGES = [
+    ("language_id", language_id.stage),
+    ("jaccard_join", jaccard_join.stage),
+    ("suffix_dedup", suffix_dedup.stage),
+    ("decontamination", decontamination.stage),
+    ("sentencepiece", sentencepiece_codec.stage),
+]
 
-#: Three of the stages are beyond SQL.
+#: Most of the stages are beyond SQL.
 ORACLE_SQL = None
 
 
