@@ -200,7 +200,7 @@ class Matcher:
         self.no = [re.compile(translate(p, deep, path), case) for p in self.negative]
 
     def __call__(self, text: str) -> bool:
-        return any(p.fullmatch(text) for p in self.yes) and not any(p.fullmatch(text) for p in self.no)
+        return any(p.fullmatch(text) for p in self.yes) and not any(p.fullmatch(text) or p.fullmatch(text.lstrip("/")) for p in self.no)
 
     def roots(self) -> list[tuple[str, bool]]:
         """For each positive pattern the longest folder that has no special character, and whether deeper folders can match."""

@@ -51,8 +51,9 @@ class TextFilter(Filter):
 
 
 #: Mail addresses and links, in the syntax that Java's and Python's expressions share; Unicode's word characters in both.
-MAIL = r"(?i)(?<![-/+@a-z\d_])[-+a-z\d_](?:[-+a-z\d_]|\.(?!\.))*(?<!\.)@[-a-z\d_]+\.(?:[-a-z\d_]|(?<!\.)\.(?!\.))*[a-z]\b(?![-@])"
-LINK = r"(?i)(?:\b|(?<=_))(?:(?:https?|ftps?)://(?:[^_\W][-\w]*(?:\.[-\w.]+)+|localhost)|www\.[^_\W][-\w]*(?:\.[-\w.]+)+)/?(?:[-\w.?,!'(){}\[\]/+&@%$#=:\"|~;]*(?:[^_\W]|[-/#@$+=]))?"
+MAIL = r"(?i)(?<![\d_a-z@+/-])[\d_a-z+-]+(?:\.[\d_a-z+-]+)*@(?:[\d_a-z-]+\.)+[\d_a-z-]*[a-z]\b(?![@-])"
+_HOST = r"[^\W_][\w-]*(?:\.[\w.-]+)+"
+LINK = rf"(?i)(?:\b|(?<=_))(?:(?:https?|ftps?)://(?:{_HOST}|localhost)|www\.{_HOST})[\w#$%&'()+,./:;=?@\[\]{{|}}~!\"-]*(?:[^\W_]|[#$+/=@-])"
 
 
 class UrlFilter(Filter):
