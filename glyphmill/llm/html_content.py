@@ -1,7 +1,8 @@
 """Content of web pages by the ratios of their tag paths.
 
 The path of a text node is the tags from the root down to it. For each path the text's length and its punctuation, each per
-node, are aggregated; both are smoothed along the page, fused by multiplication, and the paths above a threshold are content.
+node, are aggregated; both are smoothed along the page and fused to the root of length times (1 + punctuation), so that a long text without
+any mark still counts; the paths above a share of the paths' mean are content.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def text_nodes(page: str) -> list[tuple[str, str]]:
     return nodes
 
 
-def content(page: str | None, width: int = 2, factor: float = 0.5) -> tuple[str | None, int, int]:
+def content(page: str | None, width: int = 2, factor: float = 0.75) -> tuple[str | None, int, int]:
     """Text of the content nodes (a line for each run of one block), number of paths, number of content paths. Null gives null; a page without text gives ""."""
     if page is None:
         return None, 0, 0
@@ -73,19 +74,20 @@ def content(page: str | None, width: int = 2, factor: float = 0.5) -> tuple[str
     number = {p: i for i, p in enumerate(paths)}
     of = np.array([number[p] for p, _ in nodes])
     count = np.bincount(of)
-    fused = np.ones(len(nodes))
+    smoothed = []
     for values in ([len(t) for _, t in nodes], [len(MARK.findall(t)) for _, t in nodes]):
         ratio = (np.bincount(of, np.array(values, float)) / count)[of]
         kernel = np.exp(-(np.arange(-width, width + 1) ** 2) / 2.0)
         smooth = np.convolve(np.pad(ratio, width, "edge"), kernel / kernel.sum(), "valid")
-        fused *= np.sqrt(ratio * smooth) + 1e-3
-    by_path = np.bincount(of, fused) / count
-    kept = by_path >= min(factor * np.sqrt((by_path**2).mean()), by_path.max())
+        smoothed.append(np.sqrt(ratio * smooth))
+    length, marks = smoothed
+    by_path = np.bincount(of, np.sqrt(length * (1 + marks))) / count
+    kept = by_path >= min(factor * by_path.mean(), by_path.max())
     lines = [" ".join(t for _, t in run) for _, run in groupby((n for n in nodes if kept[number[n[0]]]), key=lambda n: n[0])]
     return "\n".join(lines), len(paths), int(kept.sum())
 
 
-def html_content(pages: DataFrame, width: int = 2, factor: float = 0.5, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def html_content(pages: DataFrame, width: int = 2, factor: float = 0.75, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """page_id, text, n_paths and n_content_paths: one row for each row.
 
     A null page has null text, an empty one empty text; if all paths are alike (a tie) all are content. Repeated rows repeat; other columns are left out."""
