@@ -73,7 +73,9 @@ class Model:
                     j = names.index(name)
                     votes[:, j] += (s > 0) + np.tanh(s) * 1e-3
                     least[:, j] = np.minimum(least[:, j], s)
-        best = votes.argmax(1) if len(names) else np.zeros(len(scores), int)
+        if not names:
+            return np.full(len(scores), None, object), np.zeros(len(scores))
+        best = votes.argmax(1)
         return np.array(names, object)[best], least[np.arange(len(scores)), best]
 
 
