@@ -23,7 +23,7 @@ from glyphmill.llm.session import stored, table, texts
 
 LENGTH = 50
 #: Words in one suffix array, about; anchors (one to LENGTH / 4 words) in one shard of a leader.
-SHARD_WORDS, SHARD_ANCHORS = 400_000, 30_000
+SHARD_WORDS, SHARD_ANCHORS = 150_000, 8_000
 
 
 def shape(length: int) -> tuple[int, int]:
