@@ -270,7 +270,7 @@ def odf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(docs, "doc_id", "odf", ["odf"]).where("category = 'odtcontent'").select("doc_id", "text")
 
 
-@query()
+@query(f"SELECT doc_id, 'docxcontent' AS category, {_STRIPPED} AS text FROM documents WHERE regexp_matches(text, '\\S')")
 def ooxml_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zipped documents made of the texts, read as files."""
     docs = table(spark, sf_dir, "documents").where(r"text rlike '\\S'").select("doc_id", "text")
