@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm.arrays import U, Words, grams, large, lists, signed, slices
+from glyphmill.llm.arrays import U, WORD_RE2, Words, grams, large, lists, signed, slices
 from glyphmill.llm.session import table, texts
 
 MASKS = ("1101001101", "101110011", "1110001011")
@@ -144,6 +144,31 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _sql() -> str:
+    """The same rows by SQL: words themselves instead of hashes, and every hit compared without a filter before it."""
+    short = ["1" * n for n in range(LEAST, SPAN)]
+
+    def seeds_of(table_: str, key: str, place: str, mask: str, only: str) -> str:
+        chosen = ", ".join(f"w[i + {k + 1}]" for k in picks(mask))
+        return f"SELECT {key}, '{mask}' AS mask, i AS {place}, concat_ws(' ', {chosen}) AS seed FROM {table_}, unnest(range(len(w) - {len(mask) - 1})) AS r(i) WHERE len(w) >= {len(mask)}{only}"
+
+    items = " UNION ALL ".join(seeds_of("b", "item_id", "item_at", m, "" if m in MASKS else f" AND len(w) = {len(m)}") for m in (*MASKS, *short))
+    docs = " UNION ALL ".join(seeds_of("d", "doc_id", "p", m, "" if m in MASKS else f" AND EXISTS (SELECT 1 FROM b WHERE len(w) = {len(m)})") for m in (*MASKS, *short))
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_RE2}') AS w FROM documents),
+b AS (SELECT item_id, w FROM (SELECT item_id, regexp_extract_all(lower(text), '{WORD_RE2}') AS w FROM benchmark) WHERE len(w) >= {LEAST}),
+x AS ({items}), y AS ({docs}),
+h AS (SELECT DISTINCT doc_id, item_id, p, item_at FROM x JOIN y USING (mask, seed)),
+m AS (SELECT doc_id, item_id, p, least({WINDOW}, len(b.w)) AS size,
+             [(d.w[k + 1] = b.w[k - p + item_at + 1])::INT FOR k IN range(greatest(0, p - {WINDOW}, p - item_at), least(len(d.w), p + {SPAN + WINDOW}, p - item_at + len(b.w)))] AS same
+      FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
+s AS (SELECT doc_id, item_id, p, list_max([list_sum(same[k + 1 : k + size]) FOR k IN range(len(same) - size + 1)])::DOUBLE / size AS share FROM m WHERE len(same) >= size)
+SELECT doc_id, item_id, max(share) AS overlap, min(p)::BIGINT AS at_word FROM s WHERE share >= {SHARE} GROUP BY doc_id, item_id"""
+
+
+OP6_SQL = _sql()
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in which no passage of the benchmark was found, unchanged; those without id or text stay."""
     bad = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_bad_")).distinct()
