@@ -352,28 +352,31 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def encode(column: pa.Array, path: str) -> pa.ListArray:
+    """The ids of each text of a string array; null for null."""
+    e = encoder(path)
+    data, sizes = [], []
+    for _, part in slices(column.cast(pa.large_string()), 1 << 19):
+        ids = e.encode(part.to_pylist())
+        sizes += [len(x) // 4 for x in ids]
+        data.append(b"".join(ids))
+    offsets = np.zeros(len(column) + 1, np.int32)
+    np.cumsum(np.array(sizes, np.int64), out=offsets[1:])
+    mask = np.append(np.asarray(column.is_null()), False) if column.null_count else None
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=mask), pa.array(np.frombuffer(b"".join(data), np.int32)))
+
+
 def encoded(text: F.Column, path: str = MODEL) -> F.Column:
     """array<int> of the ids of a text; null for null, empty for empty."""
 
     @F.arrow_udf("array<int>")
     def apply(column: pa.Array) -> pa.Array:
-        e = encoder(path)
-        data, sizes = [], []
-        for _, part in slices(column.cast(pa.large_string()), 1 << 19):
-            ids = e.encode(part.to_pylist())
-            sizes += [len(x) // 4 for x in ids]
-            data.append(b"".join(ids))
-        offsets = np.zeros(len(column) + 1, np.int32)
-        np.cumsum(np.array(sizes, np.int64), out=offsets[1:])
-        mask = pa.array(np.append(np.asarray(column.is_null()), False)) if column.null_count else None
-        values = pa.array(np.frombuffer(b"".join(data), np.int32))
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.asarray(mask) if mask is not None else None), values)
+        return encode(column, path)
 
     return apply(text)
 
 
 def decode(rows: pa.Array, v: Vocabulary) -> pa.Array:
-    rows = pa.ListArray.from_arrays(rows.offsets, rows.values.cast(pa.int32())) if rows.offset == 0 and not rows.null_count else rows
     offsets, values = np.asarray(rows.offsets).astype(np.int64), np.asarray(rows.values)
     out = []
     at = 0
@@ -408,8 +411,14 @@ def codec(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col:
 
     Ids are those of the SentencePiece library, but that a U+2581 in a text is encoded by its bytes and not taken for a space, so that decoding gives every text back.
     A null text has null ids, an empty one no ids; repeated rows repeat; other columns are left out; a vocabulary's file must be readable by all executors."""
-    ids = docs.select(F.col(id_col).alias("doc_id"), encoded(F.col(text_col).cast("string"), path).alias("ids"))
-    return ids.withColumn("decoded", decoded(F.col("ids"), path))
+
+    # both ways in one function: decoding a column that another function gives would encode it a second time
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(column: pa.Array) -> pa.Array:
+        ids = encode(column, path)
+        return pa.StructArray.from_arrays([ids, decode(ids, vocabulary(path))], ["ids", "decoded"])
+
+    return docs.select(F.col(id_col).alias("doc_id"), both(F.col(text_col).cast("string")).alias("r")).select("doc_id", "r.*")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
