@@ -228,12 +228,22 @@ def html_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_order(run(table(spark, sf_dir, "pages"), "page_id", "html", [{"html": {"attributes": ["href"], "comments": False}}]), "page_id", "htmlattribute")
 
 
-@query()
+#: Blocks by SQL: what is between the tags of block elements; in it, inline tags part texts that are trimmed and joined by a space.
+_NO_TEXT = r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<!DOCTYPE[^>]*>"
+_BLOCK_TAG = r"</?(?:html|head|meta|body|nav|ul|li|div|article|h1|p|footer)(?:\s[^>]*)?>"
+_INLINE = r"array_to_string(list_filter(list_transform(string_split_regex(b, '<[^>]*>'), lambda t: trim(replace(replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&'), ' ' || chr(10))), lambda t: t <> ''), ' ')"
+
+
+def _blocks_sql(gone: str) -> str:
+    return f"SELECT page_id, len(x)::BIGINT AS n, array_to_string(x, chr(10)) AS texts FROM (SELECT page_id, list_filter(list_transform(string_split_regex(regexp_replace(html, '{_NO_TEXT}{gone}', '', 'g'), '{_BLOCK_TAG}'), lambda b: {_INLINE}), lambda b: b <> '') AS x FROM pages) WHERE len(x) > 0"
+
+
+@query(_blocks_sql(""))
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_order(run(table(spark, sf_dir, "pages"), "page_id", "html", [{"html": {"comments": False}}]), "page_id", "htmlcontent")
 
 
-@query()
+@query(_blocks_sql('|<nav>.*?</nav>|<h1>.*?</h1>|<div class="ad">.*?</div>|<title>.*?</title>|<footer>.*?</footer>'))
 def html_ignores_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = [{"html": {"ignores": ["nav", ":is(h1, .ad)", "title", "footer"], "comments": False}}]
     return in_order(run(table(spark, sf_dir, "pages"), "page_id", "html", steps), "page_id", "htmlcontent")
@@ -298,7 +308,11 @@ def ooxml_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.first(files, OoxmlFilter()).select(F.col("src_id").cast("long").alias("doc_id"), "category", "text")
 
 
-@query()
+@query(f"""
+WITH tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(source || ' ' || text, '{_WORD}')) AS w FROM documents WHERE text IS NOT NULL),
+dict AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{_WORD}')) AS w FROM benchmark)
+SELECT doc_id, count(*) AS n_words, string_agg(w, chr(10) ORDER BY w) AS words FROM tok
+WHERE w NOT IN (SELECT w FROM dict) AND NOT ((w = upper(w) OR substring(w, 2) = substring(lower(w), 2)) AND lower(w) IN (SELECT w FROM dict)) GROUP BY doc_id""")
 def markdown_to_html_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown made of the texts, rendered, and checked but for its code."""
     md = F.concat(F.lit("# "), "source", F.lit("\n\n"), "text", F.lit("\n\n```\nnotaword\n```\n\n* `alsonot`\n"))
