@@ -96,7 +96,7 @@ def html_meta(head: bytes) -> str | None:
     return m[1].decode("ascii", "replace") if m else xml_declaration(head)
 
 
-COOKIE = re.compile(rb"coding[:=]\s*([-\w.]+)")
+COOKIE = re.compile(rb"coding[=:]\s*([\w.-]+)")
 
 
 def source_cookie(head: bytes) -> str:

@@ -14,6 +14,7 @@ from glyphmill.operators.selectors import Selector
 from glyphmill.operators.tree import Node, parse_html, parse_xml
 
 ZIP = b"PK\x03\x04"
+OASIS = "urn:oasis:names:tc:opendocument:xmlns"
 
 
 class TreeFilter(Filter):
@@ -87,7 +88,7 @@ class TreeFilter(Filter):
 
 class XmlFilter(TreeFilter):
     def default_config(self) -> dict:
-        return {"comments": True, "attributes": [], "break_tags": [], "ignores": [], "captures": ["*|*"], "namespaces": {}}
+        return {"captures": ["*|*"], "ignores": [], "namespaces": {}, "attributes": [], "comments": True, "break_tags": []}
 
     def header_encoding(self, head: bytes) -> str | None:
         return encodings.xml_declaration(head)
@@ -112,7 +113,7 @@ class HtmlFilter(TreeFilter):
     MODES = ("html", "html5", "xhtml")
 
     def default_config(self) -> dict:
-        return {"mode": "html", "comments": True, "attributes": [], "captures": ["*|*:not(script, style)"], "ignores": [], "break_tags": [], "namespaces": {}}
+        return {"mode": "html", "comments": True, "namespaces": {}, "captures": ["*|*:not(script, style)"], "attributes": [], "ignores": [], "break_tags": []}
 
     def validated(self, key, value):
         value = super().validated(key, value)
@@ -199,16 +200,17 @@ class OfficeFilter(TreeFilter):
 
 class OdfFilter(OfficeFilter):
     KINDS = {"text": "odt", "spreadsheet": "ods", "presentation": "odp"}
-    SPACES = {"text": "urn:oasis:names:tc:opendocument:xmlns:text:1.0"}
+    SPACES = {"text": f"{OASIS}:text:1.0"}
+    MIME = "application/vnd.oasis.opendocument."
 
     def categories(self) -> tuple[str, ...]:
         return tuple(k + "content" for k in self.KINDS.values())
 
     def kind(self, mimetype: str) -> str:
-        m = re.fullmatch(r"application/vnd\.oasis\.opendocument\.(\w+)", mimetype.strip())
-        if not m or m[1] not in self.KINDS:
+        kind = mimetype.strip().removeprefix(self.MIME)
+        if kind not in self.KINDS or not mimetype.strip().startswith(self.MIME):
             raise ValueError(f"{mimetype!r} is no known kind of document")
-        return self.KINDS[m[1]]
+        return self.KINDS[kind]
 
     def documents(self, raw: bytes, context: str) -> list[Chunk]:
         if raw.startswith(ZIP):

@@ -87,7 +87,7 @@ class ContextFilter(Filter):
     """Text within delimiters (or, with context_visible_first, outside of them); escapes are passed over."""
 
     def default_config(self) -> dict:
-        return {"context_visible_first": False, "delimiters": [], "escapes": "", "normalize_line_endings": True}
+        return {"delimiters": [], "normalize_line_endings": True, "context_visible_first": False, "escapes": ""}
 
     def validated(self, key, value):
         value = super().validated(key, value)

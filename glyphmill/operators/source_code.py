@@ -198,7 +198,7 @@ class CppFilter(SourceFilter):
             n = int(m["u"], 16)
             return chr(n).encode(codec, "replace").decode(codec) if n <= 0x10FFFF else m[0]
 
-        return re.sub(r"(?P<x>(?:\\x[0-9a-fA-F]+)+)|(?P<o>(?:\\[0-7]{1,3})+)|\\(?:(?P<s>[abfnrtv'\"?\\\n])|(?:u(?=[0-9a-fA-F]{4})|U(?=[0-9a-fA-F]{8}))(?P<u>(?<=u)[0-9a-fA-F]{4}|(?<=U)[0-9a-fA-F]{8}))", one, body)
+        return re.sub(r"(?P<x>(?:\\x[0-9a-fA-F]+)+)|(?P<o>(?:\\[0-7][0-7]?[0-7]?)+)|\\(?:(?P<s>[abfnrtv'\"?\\\n])|(?:u(?=[0-9a-fA-F]{4})|U(?=[0-9a-fA-F]{8}))(?P<u>(?<=u)[0-9a-fA-F]{4}|(?<=U)[0-9a-fA-F]{8}))", one, body)
 
 
 class StylesheetsFilter(SourceFilter):
@@ -207,7 +207,7 @@ class StylesheetsFilter(SourceFilter):
     order = (("block", "block-comment"), ("line", "line-comment"))
 
     def default_config(self) -> dict:
-        return {"stylesheets": "css", "block_comments": True, "line_comments": True, "group_comments": False}
+        return {"group_comments": False, "line_comments": True, "block_comments": True, "stylesheets": "css"}
 
     def validated(self, key, value):
         value = super().validated(key, value)
@@ -236,11 +236,11 @@ class StylesheetsFilter(SourceFilter):
 class JavaScriptFilter(SourceFilter):
     order = (("block", "block-comment"), ("line", "line-comment"), ("doc", "docs"), ("string", "strings"))
     CODE = re.compile(r"""/\*[\s\S]*?\*/|//[^\n]*|"(?:\\[\s\S]|[^"\\\n])*"|'(?:\\[\s\S]|[^'\\\n])*'|[`{}\n]|[^"'`{}/\n]+|[\s\S]""")
-    TEMPLATE = re.compile(r"(?P<text>(?:\\[\s\S]|\$(?!\{)|[^`\\$])*)(?P<end>`|\$\{|\Z)")
-    ESCAPE = re.compile(r"\\(?:(?P<o>[1-7][0-7]{0,2}|0[0-7]{1,2})|(?P<s>[bfnrtv0\n])|u\{(?P<b>[0-9a-fA-F]+)\}|u(?P<u>[0-9a-fA-F]{4})|x(?P<x>[0-9a-fA-F]{2})|(?P<any>[\s\S]))")
+    TEMPLATE = re.compile(r"(?P<text>(?:[^\\$`]|\\[\s\S]|\$(?!\{))*)(?P<end>`|\$\{|\Z)")
+    ESCAPE = re.compile(r"\\(?:(?P<o>0[0-7]{1,2}|[1-7][0-7]{0,2})|(?P<s>[bfnrtv0\n])|u\{(?P<b>[0-9a-fA-F]+)\}|u(?P<u>[0-9a-fA-F]{4})|x(?P<x>[0-9a-fA-F]{2})|(?P<any>[\s\S]))")
 
     def default_config(self) -> dict:
-        return {"block_comments": True, "line_comments": True, "group_comments": False, "jsdocs": False, "strings": False, "decode_escapes": True}
+        return {"jsdocs": False, "strings": False, "group_comments": False, "line_comments": True, "block_comments": True, "decode_escapes": True}
 
     def prefix(self) -> str:
         return "js"

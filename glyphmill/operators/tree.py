@@ -6,8 +6,8 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.parsers import expat
 
-XHTML = "http://www.w3.org/1999/xhtml"
-XML_NS = "http://www.w3.org/XML/1998/namespace"
+W3 = "http://www.w3.org"
+XHTML, XML_NS = f"{W3}/1999/xhtml", f"{W3}/XML/1998/namespace"
 
 
 class Node:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions import encodings
 from glyphmill.model import Step
 from glyphmill.operators import check, lines
+from glyphmill.operators.markup import OASIS, OdfFilter
 from glyphmill.operators.plain import BLANK, TextFilter
 from glyphmill.plans import pipeline
 
@@ -144,7 +145,7 @@ def known_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- plain filters
 
 _MAIL_RE2 = r"(^|[^-/+@a-zA-Z\d_])[-+a-zA-Z\d_](?:[-+a-zA-Z\d_]|\.[-+a-zA-Z\d_])*@[-a-zA-Z\d_]+(?:\.[-a-zA-Z\d_]+)*\.[-a-zA-Z\d_]*[a-zA-Z]\b"
-_LINK_RE2 = r"https?://[-\w]+(?:\.[-\w.]+)+/?(?:[-\w.?,!''(){}\[\]/+&@%$#=:\"|~;]*(?:[a-zA-Z0-9]|[-/#@$+=]))?"
+_LINK_RE2 = r"https?://[-\w]+(?:\.[-\w.]+)+/?(?:[\w#$%&''()+,./:;=?@\[\]{|}~!\"-]*(?:[a-zA-Z0-9]|[-/#@$+=]))?"
 
 
 @query(rf"SELECT doc_id, regexp_replace(regexp_replace(text, '{_LINK_RE2}', '', 'g'), '{_MAIL_RE2}', '\1', 'g') AS text FROM documents WHERE text IS NOT NULL")
@@ -275,7 +276,8 @@ def xml_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, {_STRIPPED} AS text FROM documents WHERE regexp_matches(text, '\\S')")
 def odf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat documents made of the texts."""
-    head = '<office:document xmlns:office="urn:oasis:names:tc:opendocument:xmlns:office:1.0" xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0" office:mimetype="application/vnd.oasis.opendocument.text"><office:body><text:p>'
+    spaces = " ".join(f'xmlns:{x}="{OASIS}:{x}:1.0"' for x in ("office", "text"))
+    head = f'<office:document {spaces} office:mimetype="{OdfFilter.MIME}text"><office:body><text:p>'
     docs = table(spark, sf_dir, "documents").where(r"text rlike '\\S'").withColumn("odf", F.concat(F.lit(head), _escaped(F.col("text")), F.lit("</text:p></office:body></office:document>")))
     return run(docs, "doc_id", "odf", ["odf"]).where("category = 'odtcontent'").select("doc_id", "text")
 
