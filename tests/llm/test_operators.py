@@ -385,6 +385,8 @@ def test_near_passages_recall_and_precision(spark, hard, empty):
     both, all_ = sum(len(a & b) for a, b in zip(got, want)), sum(map(len, want))
     assert all_ > 500 and both >= 0.9 * all_ and both >= 0.95 * sum(map(len, got))
     assert compact_windows.near_passages(empty).count() == 0
+    salted = compact_windows.near_passages(spark.createDataFrame(docs, "doc_id long, text string"), followers=2).collect()
+    assert Counter(map(tuple, salted)) == Counter(map(tuple, rows))  # how a leader's documents are spread changes nothing
     twice = hard.union(hard.where("doc_id = 7").withColumn("doc_id", F.lit(70).cast("long")))
     assert {(x.doc_a, x.doc_b) for x in compact_windows.near_passages(twice).collect()} == {(7, 70)}
 
