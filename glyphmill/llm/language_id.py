@@ -99,7 +99,7 @@ def machine(x: np.ndarray, y: np.ndarray, cost: float = 100.0, rounds: int = 150
 
 def train(texts: pa.Array, langs: list[str]) -> Model:
     """Machines for the families met in langs and for the languages of each."""
-    x = features(large(texts))[0]
+    x = np.concatenate([features(part)[0] for _, part in slices(large(texts))] or [np.zeros((0, BUCKETS), np.float32)])
     y = np.array(langs, object)
     names = sorted(set(langs))
     by = {f: tuple(n for n in names if family_of(n) == f) for f in sorted({family_of(n) for n in names})}
