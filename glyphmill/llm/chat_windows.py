@@ -6,7 +6,7 @@ most a limited history of the turns before its span, and masks what it repeats:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm.arrays import WORD, WORD_RE2
@@ -23,46 +23,49 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
     History is the longest run of at most `history` turns right before the span that still fits.
     Null roles are "user"; null texts are empty; rows with a null conv_id or turn are left out; turns with equal numbers are ordered by role and text; repeated rows are kept.
     A conversation of system turns only gives no window. Other columns are left out."""
-    role = F.coalesce(F.col("role"), F.lit("user"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    one = turns.where("conv_id is not null and turn is not null").select(
-        "conv_id", F.struct(F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"), (F.size(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))) + per_turn).cast("long").alias("n")).alias("t")
-    )
-    whole = one.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("all"))
-    split = whole.select("conv_id", F.filter("all", lambda t: t.role == "system").alias("sys"), F.filter("all", lambda t: t.role != "system").alias("ts"))
+    role, text = F.coalesce(F.col("role"), F.lit("user")), F.coalesce(F.col("text"), F.lit(""))
+    size = (F.size(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))) + per_turn).cast("long")
+    one = turns.where("conv_id is not null and turn is not null").select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"), size.alias("n"))
+    # prefix sums over the turns that aren't system turns; the same partitioning serves the grouping after them
+    so_far = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = one.withColumn("upto", F.sum(F.when(F.col("role") == "system", 0).otherwise(F.col("n"))).over(so_far))
+    whole = summed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "n", "upto"))).alias("all"))
+    split = whole.select("conv_id", F.filter("all", lambda t: t.role == "system").alias("sys"), F.filter("all", lambda t: t.role != "system").alias("ts")).where(F.size("ts") > 0)
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, t: s + t.n)
-    # prefix[i]: tokens of the first i turns
-    prefix = F.aggregate("ts", F.array(F.lit(0).cast("long")), lambda p, t: F.concat(p, F.array(F.element_at(p, -1) + t.n)))
-    based = split.select("conv_id", "sys", "ts", total(F.col("sys")).alias("n_sys"), prefix.alias("prefix")).where(F.size("ts") > 0)
+    based = split.withColumn("n_sys", total(F.col("sys")))
     room = F.lit(budget) - F.col("n_sys")
-    # a span begins at i if the turns since the last beginning, with turn i, are more than the room
-    begins = F.aggregate(
-        F.sequence(F.lit(1), F.size("ts")),
-        F.array(F.lit(1)),
-        lambda b, i: F.when((i > F.element_at(b, -1)) & (F.get("prefix", i) - F.get("prefix", F.element_at(b, -1) - 1) > room), F.concat(b, F.array(i))).otherwise(b),
-    )
-    spans = based.withColumn("begins", begins).select("conv_id", "sys", "ts", "n_sys", "prefix", "begins", F.posexplode("begins").alias("window", "first"))
-    spans = spans.withColumn("last", F.coalesce(F.get("begins", F.col("window") + 1) - 1, F.size("ts")))
+
+    def turn(i: Column) -> Column:
+        return F.get("ts", i - 1)
 
     def tokens(low: Column, high: Column) -> Column:
-        return F.get("prefix", high) - F.get("prefix", low - 1)
-
-    own = tokens(F.col("first"), F.col("last"))
-    reach = F.filter(F.sequence(F.lit(0), F.least(F.lit(history), F.col("first") - 1)), lambda h: (h == 0) | (tokens(F.col("first") - h, F.col("last")) <= room))
-    spans = spans.withColumn("h", F.array_max(reach))
-    shown = F.concat("sys", F.slice("ts", F.col("first") - F.col("h"), F.col("last") - F.col("first") + F.col("h") + 1))
-    is_own = F.slice("ts", F.col("first"), F.col("last") - F.col("first") + 1)
-    masked = F.concat(F.transform("sys", lambda t: F.lit(False)), F.transform(F.slice("ts", F.col("first") - F.col("h"), F.col("h")), lambda t: F.lit(False)), F.transform(is_own, lambda t: t.role == "assistant"))
-    return spans.select(
+        return turn(high).upto - turn(low).upto + turn(low).n
+
+    # a span begins at i if the turns since the last beginning, with turn i, are more than the room
+    begins = F.aggregate(F.sequence(F.lit(1), F.size("ts")), F.array(F.lit(1)), lambda b, i: F.when((i > F.element_at(b, -1)) & (tokens(F.element_at(b, -1), i) > room), F.concat(b, F.array(i))).otherwise(b))
+    begun = based.withColumn("begins", begins)
+
+    def span(first: Column, window: Column) -> Column:
+        last = F.coalesce(F.get("begins", window + 1) - 1, F.size("ts"))
+        reach = F.filter(F.sequence(F.lit(0), F.least(F.lit(history), first - 1)), lambda h: (h == 0) | (tokens(first - h, last) <= room))
+        return F.struct(window.cast("long").alias("window"), F.array_max(reach).alias("h"), first.alias("first"), last.alias("last"))
+
+    spans = begun.withColumn("spans", F.transform("begins", span))
+    # only a window's own turns go on with it, not the whole conversation
+    cut = F.transform("spans", lambda x: F.struct(x.window.alias("window"), x.h.alias("h"), F.slice("ts", x.first - x.h, x.last - x.first + x.h + 1).alias("shown")))
+    each = spans.select("conv_id", "sys", "n_sys", F.explode(cut).alias("x")).select("conv_id", "sys", "n_sys", "x.*")
+    own = F.slice("shown", F.col("h") + 1, F.size("shown"))
+    is_target = F.transform("shown", lambda t, i: (i >= F.col("h")) & (t.role == "assistant"))
+    return each.select(
         "conv_id",
-        F.col("window").cast("long").alias("window"),
-        F.element_at("ts", F.col("first")).turn.alias("first_turn"),
-        F.element_at("ts", F.col("last")).turn.alias("last_turn"),
+        "window",
+        F.get("shown", F.col("h")).turn.alias("first_turn"),
+        F.element_at("shown", -1).turn.alias("last_turn"),
         F.col("h").cast("long").alias("n_history"),
-        (F.col("n_sys") + tokens(F.col("first") - F.col("h"), F.col("last"))).alias("n_tokens"),
-        total(F.filter(is_own, lambda t: t.role == "assistant")).alias("n_target_tokens"),
-        F.array_join(F.transform(shown, lambda t: F.concat(F.lit("<|"), t.role, F.lit("|>\n"), t.text)), "\n").alias("text"),
-        F.array_join(F.transform(masked, lambda m: F.when(m, F.lit("1")).otherwise(F.lit("0"))), "").alias("target"),
+        (F.col("n_sys") + total(F.col("shown"))).alias("n_tokens"),
+        total(F.filter(own, lambda t: t.role == "assistant")).alias("n_target_tokens"),
+        F.array_join(F.transform(F.concat("sys", "shown"), lambda t: F.concat(F.lit("<|"), t.role, F.lit("|>\n"), t.text)), "\n").alias("text"),
+        F.array_join(F.transform(F.concat(F.transform("sys", lambda t: F.lit(False)), is_target), lambda m: F.when(m, F.lit("1")).otherwise(F.lit("0"))), "").alias("target"),
     )
 
 
