@@ -391,6 +391,28 @@ def test_near_passages_recall_and_precision(spark, hard, empty):
     assert {(x.doc_a, x.doc_b) for x in compact_windows.near_passages(twice).collect()} == {(7, 70)}
 
 
+def test_near_passages_pairs_of_families(spark):
+    r = random.Random(17)
+    words = voc(3000, 8)
+    n, size = compact_windows.N, compact_windows.WINDOW
+    docs, want = [(2**60, "")], set()
+    for count in (10, 30, 50):
+        base = prose(r, 55, words)
+        family = []
+        for _ in range(count):
+            t = [r.choice(words) if r.random() < 0.045 else w for w in base]
+            g = grams(Words(large(pa.array([" ".join(t)]))).hashes, n).tolist()
+            runs = [frozenset(g[k : k + size]) for k in range(len(g) - size + 1)]
+            docs.append((2**60 + len(docs), " ".join(prose(r, 30, words) + t + prose(r, 30, words))))
+            want |= {(other, docs[-1][0]) for other, before in family if any(len(a & b) >= compact_windows.THRESHOLD * len(a | b) for a in before for b in runs)}
+            family.append((docs[-1][0], runs))
+    rows = compact_windows.near_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = Counter((x.doc_a, x.doc_b) for x in rows)
+    assert len(want) > 400 and len(got.keys() & want) >= 0.9 * len(want)
+    blocks = compact_windows.near_passages(spark.createDataFrame(docs, "doc_id long, text string"), followers=7).collect()
+    assert Counter(map(tuple, blocks)) == Counter(map(tuple, rows))
+
+
 # ---- 8: pages
 
 
