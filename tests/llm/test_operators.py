@@ -413,6 +413,26 @@ def test_near_passages_pairs_of_families(spark):
     assert Counter(map(tuple, blocks)) == Counter(map(tuple, rows))
 
 
+def test_near_passages_at_several_places(spark):
+    r = random.Random(23)
+    words = voc(3000, 8)
+    passage = prose(r, 70, words)
+    text, places = [], []
+    for _ in range(5):
+        text += prose(r, 60, words)
+        places.append(len(text))
+        text += passage
+    many = " ".join(text)
+    for docs in ([(1, many), (2, " ".join(passage))], [(1, " ".join(prose(r, 9, words) + passage + prose(r, 9, words))), (2, many)], [(1, many), (2, many)]):
+        rows = compact_windows.near_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        for i in places:
+            assert any((x.start_a <= i < x.end_a or docs[0][1] != many) and (x.start_b <= i < x.end_b or docs[1][1] != many) for x in rows)
+        if docs[0][1] == docs[1][1]:
+            assert {(i, k) for i in places for k in places} == {(i, k) for i in places for k in places for x in rows if x.start_a <= i < x.end_a and x.start_b <= k < x.end_b and abs((i - k) - (x.start_a - x.start_b)) <= compact_windows.SLACK}
+    loop = " ".join(["a", "b"] * 3000)
+    assert {(x.doc_a, x.doc_b) for x in compact_windows.near_passages(spark.createDataFrame([(1, loop), (2, "x " + loop)], "doc_id long, text string")).collect()} == {(1, 2)}
+
+
 # ---- 8: pages
 
 
