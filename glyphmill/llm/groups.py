@@ -12,10 +12,12 @@ from glyphmill.llm.session import stored
 
 
 def led(keys: DataFrame) -> DataFrame:
-    """keys: (key, doc_id), with no pair twice. Adds to each row of a key that several documents have its leader, their least id, and n, their number. One shuffle; no pairs are made, so a key of many documents costs no more than its rows."""
-    of = Window.partitionBy("key")
-    all_ = keys.withColumns({"leader": F.min("doc_id").over(of), "last": F.max("doc_id").over(of), "n": F.count("*").over(of)})
-    return all_.where("leader < last").drop("last")
+    """keys: (key, doc_id, ...), with no pair twice. Adds to each row of a key that several documents have its leader, their least id, and n, their number; other rows go.
+
+    Leaders are aggregated before they are shuffled, so that a key of very many documents gives a row for each task; joining them back is a join that the
+    engine splits where a key is skewed. No pairs are made. The keys are computed twice."""
+    shared = keys.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("leader < last").drop("last")
+    return keys.join(stored(shared).hint("shuffle_hash"), "key")
 
 
 def gathered(edges: DataFrame, docs: DataFrame) -> DataFrame:
