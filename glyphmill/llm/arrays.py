@@ -59,12 +59,12 @@ def large(column) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
-    """Consecutive slices of about so many bytes, each with the position of its first row; a longer text is a slice by itself."""
+def slices(column: pa.Array, most: int = 1 << 20, rows: int = 1 << 62) -> Iterator[tuple[int, pa.Array]]:
+    """Consecutive slices of about so many bytes, and so many rows at most, each with the position of its first row; a longer text is a slice by itself."""
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+        j = min(i + rows, max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1))
         yield i, column.slice(i, j - i)
         i = j
 
