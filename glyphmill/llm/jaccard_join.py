@@ -1,7 +1,7 @@
 """Documents whose sets of word n-grams have a Jaccard similarity of at least a threshold, by a token-group matrix.
 
 Documents of one set are one class from the start. Min-hash bands bring classes that may be similar to the same shards (each has the least id of a
-band's documents for its leader). Inside a shard the sets, ordered by their min-hashes so that similar ones are neighbours, are partitioned into groups; a matrix holds
+band's documents for its leader). Inside a shard the sets, ordered so that those linked by min-hashes are neighbours, are partitioned into groups; a matrix holds
 for each group which n-grams its sets have between them. A set's overlap with a group's union bounds that with each of its members: only groups
 where the bound reaches the threshold are opened, and there all overlaps are counted exactly. Links are counted where they are found and not listed, so
 that what is shuffled and returned grows with the documents. Every similarity is exact; a pair of similarity s is missed with probability (1 - s^ROWS)^BANDS, 0.001 at 0.5.
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.arrays import U, WORD_RE2, Words, grams, large, lists, mix, signed, slices
 from glyphmill.llm.groups import components, gathered, led, runs
-from glyphmill.llm.session import stored, table, texts
+from glyphmill.llm.session import stored, table, texts, tidied
 
 N, THRESHOLD, BANDS, ROWS, GROUP = 3, 0.5, 24, 2, 64
 #: Bytes of text in one shard, about; a leader's documents of more are cut into blocks, and any two blocks share a shard.
@@ -61,7 +61,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 length = np.asarray(pc.binary_length(part))[some]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[first + some]), pa.array(signed(whole)), lists(pa.array(signed(key.ravel())), np.full(len(some), bands)), pa.array(length)], ["doc_id", "whole", "bands", "bytes"])
 
-    return docs.mapInArrow(apply, "doc_id long, whole long, bands array<long>, bytes long")
+    return docs.mapInArrow(tidied(apply), "doc_id long, whole long, bands array<long>, bytes long")
 
 
 def similar(sets: list[np.ndarray], threshold: float, group: int = GROUP, opened_share: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -70,8 +70,13 @@ def similar(sets: list[np.ndarray], threshold: float, group: int = GROUP, opened
     size = np.array([len(s) for s in sets])
     begin = np.cumsum(size) - size
     every = np.concatenate(sets)
-    least = [np.minimum.reduceat(mix(every + U(k)), begin) for k in range(3)]
-    order = np.lexsort((size, *least))
+    alike = np.arange(m)  # sets that share a min-hash, or are linked by others that do
+    for k in 2 * list(range(4)):
+        _, of = np.unique(np.minimum.reduceat(mix(every + U(k)), begin), return_inverse=True)
+        first = np.full(m, m)
+        np.minimum.at(first, of, alike)
+        alike = first[of]
+    order = np.lexsort((size, alike))
     _, token = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
     row = np.repeat(np.arange(m), size[order])
     shared = np.bincount(token) > 1  # an n-gram of one document overlaps with nothing
@@ -190,7 +195,7 @@ def near_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, ba
             on = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(ids[root[on]]), pa.array(links[on]), pa.array(best[on])], ["doc_id", "root", "n_links", "max_jaccard"])
 
-    found = stored(shards.mapInArrow(apply, FOUND))
+    found = stored(shards.mapInArrow(tidied(apply), FOUND))
     parts = components(found.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("doc_id").agg(F.sum("n_links").alias("n_links"), F.max("max_jaccard").alias("max_jaccard"))
     linked = one.select("doc_id", "n", "whole").join(links, "doc_id", "left").where("n > 1 or n_links is not null").join(parts, "doc_id", "left")
