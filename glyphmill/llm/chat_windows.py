@@ -9,22 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.arrays import WORD, WORD_RE2
 from glyphmill.llm.session import table
+from glyphmill.llm.token_counts import lengths
 
 BUDGET, HISTORY, PER_TURN = 256, 2, 4
 
 
-def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, per_turn: int = PER_TURN) -> DataFrame:
+def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, per_turn: int = PER_TURN, tokens: Column | None = None) -> DataFrame:
     """conv_id, window (from 0), first_turn and last_turn (of the span), n_history, n_tokens, n_target_tokens, text and target (for each part of the text, whether it is trained on).
 
-    A turn has its words as tokens, and per_turn more. System turns, wherever they stand, go to the head of every window. A span begins where the one before ended
+    A turn has the tokens of its text (by the public tokenizer of token_counts, unless a column says otherwise), and per_turn more. System turns, wherever they stand, go to the head of every window. A span begins where the one before ended
     and takes turns as long as they fit the budget less the system turns; a turn that is too long for that alone makes a window by itself, whole and over the budget: nothing is cut or lost.
     History is the longest run of at most `history` turns right before the span that still fits.
     Null roles are "user"; null texts are empty; rows with a null conv_id or turn are left out; turns with equal numbers are ordered by role and text; repeated rows are kept.
-    A conversation of system turns only gives no window. Other columns are left out."""
+    A conversation of system turns only gives no window; an empty table gives none. A very long turn is a window by itself; a very long conversation is one row until it is cut into windows. Other columns are left out."""
     role, text = F.coalesce(F.col("role"), F.lit("user")), F.coalesce(F.col("text"), F.lit(""))
-    size = (F.size(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))) + per_turn).cast("long")
+    size = ((lengths(text) if tokens is None else tokens) + per_turn).cast("long")
     one = turns.where("conv_id is not null and turn is not null").select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"), size.alias("n"))
     # prefix sums over the turns that aren't system turns; the same partitioning serves the grouping after them
     so_far = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -38,16 +38,16 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
     def turn(i: Column) -> Column:
         return F.get("ts", i - 1)
 
-    def tokens(low: Column, high: Column) -> Column:
+    def between(low: Column, high: Column) -> Column:
         return turn(high).upto - turn(low).upto + turn(low).n
 
     # a span begins at i if the turns since the last beginning, with turn i, are more than the room
-    begins = F.aggregate(F.sequence(F.lit(1), F.size("ts")), F.array(F.lit(1)), lambda b, i: F.when((i > F.element_at(b, -1)) & (tokens(F.element_at(b, -1), i) > room), F.concat(b, F.array(i))).otherwise(b))
+    begins = F.aggregate(F.sequence(F.lit(1), F.size("ts")), F.array(F.lit(1)), lambda b, i: F.when((i > F.element_at(b, -1)) & (between(F.element_at(b, -1), i) > room), F.concat(b, F.array(i))).otherwise(b))
     begun = based.withColumn("begins", begins)
 
     def span(first: Column, window: Column) -> Column:
         last = F.coalesce(F.get("begins", window + 1) - 1, F.size("ts"))
-        reach = F.filter(F.sequence(F.lit(0), F.least(F.lit(history), first - 1)), lambda h: (h == 0) | (tokens(first - h, last) <= room))
+        reach = F.filter(F.sequence(F.lit(0), F.least(F.lit(history), first - 1)), lambda h: (h == 0) | (between(first - h, last) <= room))
         return F.struct(window.cast("long").alias("window"), F.array_max(reach).alias("h"), first.alias("first"), last.alias("last"))
 
     spans = begun.withColumn("spans", F.transform("begins", span))
@@ -73,10 +73,11 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows(table(spark, sf_dir, "conversations"))
 
 
+#: For tests: the same over conversations with a column n_tokens, as no SQL has the tokenizer.
 OP10_SQL = rf"""
 WITH RECURSIVE one AS (
   SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
-         len(regexp_extract_all(lower(coalesce(text, '')), '{WORD_RE2}')) + {PER_TURN} AS n
+         n_tokens + {PER_TURN} AS n
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 sys AS (SELECT conv_id, sum(n) AS n_sys, count(*) AS k_sys, string_agg('<|' || role || '|>' || chr(10) || text, chr(10) ORDER BY turn, text) AS s FROM one WHERE role = 'system' GROUP BY conv_id),
 ts AS (

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm.chat_windows import OP10_SQL, op10_chat_windows
+from glyphmill.llm.chat_windows import op10_chat_windows
 from glyphmill.llm.compact_windows import op7_compact_windows
 from glyphmill.llm.decontamination import OP6_SQL, op6_decontamination
 from glyphmill.llm.fingerprints import op3_fingerprints
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": OP1_SQL, "op6_decontamination": OP6_SQL, "op9_jaccard_join": OP9_SQL, "op10_chat_windows": OP10_SQL}
+    return {"op1_suffix_dedup": OP1_SQL, "op6_decontamination": OP6_SQL, "op9_jaccard_join": OP9_SQL}

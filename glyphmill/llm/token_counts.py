@@ -5,14 +5,14 @@ from __future__ import annotations
 import base64
 import re
 from functools import lru_cache
+from heapq import heappop, heappush
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.llm.arrays import slices
 from glyphmill.llm.session import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -42,36 +42,39 @@ def pieces(text: str, most: int) -> list[str]:
 
 
 def counted(texts: list[str | None], path: str, piece_chars: int, batch_bytes: int) -> list[int | None]:
-    """Pieces of long texts and whole short ones, longest first, each into the lightest batch; each batch is encoded at once."""
-    work = [(len(p), i, p) for i, t in enumerate(texts) if t for p in ([t] if len(t) <= piece_chars else pieces(t, piece_chars))]
+    """Pieces of long texts and whole short ones, longest first, each into the batch of fewest bytes; each batch is encoded by one call."""
+    work = [(len(p.encode()), i, p) for i, t in enumerate(texts) if t for p in ([t] if len(t) <= piece_chars else pieces(t, piece_chars))]
     work.sort(key=lambda x: -x[0])
     n = max(1, -(-sum(x[0] for x in work) // batch_bytes))
-    batches: list[list] = [[] for _ in range(n)]
-    for k, x in enumerate(work):  # back and forth: with falling lengths the lightest is next
-        batches[k % n if k // n % 2 == 0 else n - 1 - k % n].append(x)
+    batches: list[list[tuple[int, str]]] = [[] for _ in range(n)]
+    lightest = [(0, k) for k in range(n)]
+    for size, i, p in work:
+        total, k = heappop(lightest)
+        heappush(lightest, (total + size, k))
+        batches[k].append((i, p))
     out: list[int | None] = [None if t is None else 0 for t in texts]
-    encode = encoding(path).encode_ordinary
     for batch in batches:
-        for _, i, p in batch:
-            out[i] += len(encode(p))
+        for (i, _), ids in zip(batch, encoding(path).encode_ordinary_batch([p for _, p in batch], num_threads=1)):
+            out[i] += len(ids)
     return out
 
 
-def token_counts(docs: DataFrame, path: str = VOCABULARY, piece_chars: int = 50_000, batch_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and n_tokens: one row for each row. A null text has a null count, an empty one 0; repeated rows repeat; other columns are left out."""
+def lengths(text: F.Column, path: str = VOCABULARY, piece_chars: int = 50_000, batch_bytes: int = 1 << 20) -> F.Column:
+    """The number of tokens of a text; null for null, 0 for empty."""
 
     @F.arrow_udf("long")
     def apply(column: pa.Array) -> pa.Array:
         out: list[int | None] = []
-        sizes = np.cumsum([0, *(x.as_py() or 0 for x in pc.binary_length(column))])
-        i = 0
-        while i < len(column):  # at most so many batches are Python strings at once
-            j = max(i + 1, int(np.searchsorted(sizes, sizes[i] + 4 * batch_bytes, "right")) - 1)
-            out += counted(column.slice(i, j - i).to_pylist(), path, piece_chars, batch_bytes)
-            i = j
+        for _, part in slices(column.cast(pa.large_string()), 4 * batch_bytes):  # at most so many batches are Python strings at once
+            out += counted(part.to_pylist(), path, piece_chars, batch_bytes)
         return pa.array(out, pa.int64())
 
-    return docs.select(F.col(id_col).alias("doc_id"), apply(F.col(text_col).cast("string")).alias("n_tokens"))
+    return apply(text)
+
+
+def token_counts(docs: DataFrame, path: str = VOCABULARY, piece_chars: int = 50_000, batch_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and n_tokens: one row for each row. A null text has a null count, an empty one 0; a very long text is encoded in pieces, unless it has no place where one may cut; repeated rows repeat; other columns are left out; an empty table gives none."""
+    return docs.select(F.col(id_col).alias("doc_id"), lengths(F.col(text_col).cast("string"), path, piece_chars, batch_bytes).alias("n_tokens"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
