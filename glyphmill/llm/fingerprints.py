@@ -54,7 +54,7 @@ def syncmers(column: pa.Array, k: int, s: int) -> tuple[np.ndarray, np.ndarray,
 def fingerprints(docs: DataFrame, k: int = K, s: int = S, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, positions and anchors (the hashes there, in the order of the text): one row for each row.
 
-    Null texts and texts of fewer than k characters have empty lists; repeated rows give repeated rows; other columns are left out."""
+    Null texts and texts of fewer than k characters have empty lists; very long texts are one row like others; of equal inner substrings (ties) the first and the last count; repeated rows give repeated rows; other columns are left out; an empty table gives none."""
     if not 0 < s <= k:
         raise ValueError("0 < s <= k is needed")
 

@@ -5,7 +5,8 @@
 2. Shards. The regions of LENGTH words around an anchor go to the shard of the anchor's leader, the least document that has it, so that any two
    passages that agree meet in a shard. A leader with too many anchors for one suffix array has several shards, by a hash of the document.
 3. Per shard, a suffix array by Larsson-Sadakane refinement and Kasai's common prefixes: neighbours with a common prefix of LENGTH words are repeats.
-4. The shards of one leader are merged: what each has of distinct passages is looked up by binary search in the sorted suffixes of those before it.
+4. The shards of one leader are merged: what each has of distinct passages is looked up by binary search in the sorted suffixes of those before it. As equal
+   passages share an anchor, the merge, too, is split: into as many buckets of anchors as the leader has shards.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.arrays import WORD_RE2, Words, grams, large, signed, slices, sliding_min
 from glyphmill.llm.groups import gathered, led, runs
-from glyphmill.llm.session import stored, table, texts
+from glyphmill.llm.session import stored, table, texts, tidied
 
 LENGTH = 50
 #: Words in one suffix array, about; anchors (one to LENGTH / 4 words) in one shard of a leader.
@@ -55,7 +56,17 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
                 pair = np.unique(np.stack([of[at], signed(g[at])]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[1]), pa.array(ids[first + pair[0]])], ["key", "doc_id"])
 
-    return docs.mapInArrow(apply, "key long, doc_id long")
+    return docs.mapInArrow(tidied(apply), "key long, doc_id long")
+
+
+def anchored(hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and keys of the anchors of one run of words."""
+    n, span = shape(length)
+    g = grams(hashes, n)
+    edge = np.zeros(span - 1, np.uint64)
+    least = sliding_min(g, span)
+    at = np.flatnonzero(~sliding_min(~np.concatenate([edge, least, edge]), span)[: len(g)] == g)
+    return at, g[at]
 
 
 def suffix_array(x: np.ndarray) -> np.ndarray:
@@ -188,14 +199,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, shard_words: int = SHARD_WORD
     """doc_id, start_word, end_word (exclusive) and is_first: the words covered by passages of `length` words that stand in several documents, as maximal spans.
 
     is_first: of the spans made of passages of which this document is the one of least id; the other spans are copies. The two may overlap. Repeats inside one document only don't count.
-    Null ids or texts, and texts of fewer words, give no rows; rows that repeat an id are one document, whose spans are those of all its rows; other columns are left out."""
+    Null ids or texts, and texts of fewer words, give no rows; a very long text gives its shards only the words around anchors that others have; rows that repeat an id are one document, whose spans are those of all its rows;
+    of equal passages that of the least id is the first; other columns are left out; an empty table gives no rows."""
     docs = texts(docs, id_col, text_col)
+    n, _ = shape(length)
     keyed = led(anchors(docs, length).distinct()).groupBy("doc_id", "leader").agg(F.collect_list("key").alias("keys"))
     keyed = stored(keyed)
     big = keyed.groupBy("leader").agg(F.sum(F.size("keys")).alias("anchors")).where(F.col("anchors") > shard_anchors).select("leader", F.ceil(F.col("anchors") / shard_anchors).cast("int").alias("salts"))
     salted = keyed.join(big, "leader", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
     edges = salted.groupBy("doc_id").agg(F.collect_list(F.struct("leader", "salt", "salts", "keys")).alias("led"))
-    parts = gathered(edges, docs).select("doc_id", "text", "led").mapInArrow(regions(length), REGION)
+    parts = gathered(edges, docs).select("doc_id", "text", "led").mapInArrow(tidied(regions(length)), REGION)
 
     def sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -218,7 +231,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, shard_words: int = SHARD_WORD
         on = (low < high) & x.whole
         found = ranges(doc[on], place[on], doc[on] > low[on])
         nothing = region_batch([])
-        yield pa.RecordBatch.from_arrays([*found.columns, *(pa.nulls(len(found), c.type) for c in (nothing.column(k) for k in (0, 1, 5)))], OUT_NAMES)
+        yield pa.RecordBatch.from_arrays([*found.columns, *(pa.nulls(len(found), c.type) for c in (nothing.column(k) for k in (0, 1, 1, 5)))], OUT_NAMES)
         several = np.asarray(rows.column("salts")) > 1
         if several.any():  # of a leader with other shards: what stands here for the first time
             first = np.zeros(len(x.value), bool)
@@ -229,7 +242,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, shard_words: int = SHARD_WORD
             np.add.at(cover, at + length, -1)
             covered = np.cumsum(cover)[:-1] > 0
             ends = np.flatnonzero(x.value == 0)
-            leader, salt, text = rows.column("leader").to_pylist(), rows.column("salt").to_pylist(), rows.column("text").to_pylist()
+            leader, salt, buckets, text = (rows.column(k).to_pylist() for k in ("leader", "salt", "salts", "text"))
             out = []
             for r in np.flatnonzero(several):
                 a, b = (int(ends[r - 1]) + 1 if r else 0), int(ends[r])
@@ -239,20 +252,28 @@ def repeats(docs: DataFrame, length: int = LENGTH, shard_words: int = SHARD_WORD
                 w = Words(large(pa.array([text[r]])))
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
                 for c, d in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                    out.append((int(x.doc[a]), int(x.place[a + c]), 0, False, leader[r], salt[r], bytes(w.data[w.starts[c] : w.ends[d - 1]]).decode()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.string())
+                    at, key = anchored(w.hashes[c:d], length)
+                    bucket = (key % np.uint64(buckets[r])).astype(np.int64)
+                    for k in np.unique(bucket).tolist():
+                        own = at[bucket == k]
+                        low, high = np.maximum(c + own - (length - n), c), np.minimum(c + own + length, d)
+                        new = np.flatnonzero(np.append(True, low[1:] > high[:-1]))
+                        for f, t in zip(low[new].tolist(), high[np.append(new[1:], len(own)) - 1].tolist()):
+                            if t - f >= length:
+                                out.append((int(x.doc[a]), int(x.place[a + f]), 0, False, leader[r], salt[r], k, bytes(w.data[w.starts[f] : w.ends[t - 1]]).decode()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], OUT_NAMES)
 
     shards = parts.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "doc_id", "at", "text")
-    first = stored(shards.mapInArrow(sorted_shards, OUT))
-    content = first.where("leader is not null").select("leader", "salt", "doc_id", F.col("from").alias("at"), "text")
-    merged = content.repartition("leader").sortWithinPartitions("leader", "salt", "doc_id", "at", "text").mapInArrow(merge(length), "doc_id long, `from` long, upto long, removed boolean")
+    first = stored(shards.mapInArrow(tidied(sorted_shards), OUT))
+    content = first.where("leader is not null").select("leader", "bucket", "salt", "doc_id", F.col("from").alias("at"), "text")
+    merged = content.repartition("leader", "bucket").sortWithinPartitions("leader", "bucket", "salt", "doc_id", "at", "text").mapInArrow(tidied(merge(length)), "doc_id long, `from` long, upto long, removed boolean")
     every = first.where("leader is null").select("doc_id", "from", "upto", "removed").union(merged)
-    return every.groupBy("doc_id").agg(F.collect_list(F.struct("from", "upto", "removed")).alias("r")).mapInArrow(spans(length), "doc_id long, start_word long, end_word long, is_first boolean")
+    return every.groupBy("doc_id").agg(F.collect_list(F.struct("from", "upto", "removed")).alias("r")).mapInArrow(tidied(spans(length)), "doc_id long, start_word long, end_word long, is_first boolean")
 
 
-OUT = "doc_id long, `from` long, upto long, removed boolean, leader long, salt int, text string"
-OUT_NAMES = ["doc_id", "from", "upto", "removed", "leader", "salt", "text"]
+OUT = "doc_id long, `from` long, upto long, removed boolean, leader long, salt int, bucket int, text string"
+OUT_NAMES = ["doc_id", "from", "upto", "removed", "leader", "salt", "bucket", "text"]
 
 
 def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -283,13 +304,13 @@ def search(x: Shard, order: np.ndarray, words: np.ndarray, length: int) -> np.nd
 
 
 def merge(length: int):
-    """For each leader: the passages of its shards' distinct content that stand in several documents of different shards."""
+    """For each leader and bucket: the passages of its shards' distinct content that stand in several documents of different shards."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in runs(batches):
+        for rows in by_shard(batches):
             done: list[tuple[Shard, np.ndarray, np.ndarray]] = []
             least, most = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for part in runs(iter(rows.combine_chunks().to_batches()), 1):
+            for part in runs(iter(rows.combine_chunks().to_batches()), 2):
                 x = Shard(part)
                 x.sort(length)
                 order, run = x.order[x.whole], x.run[x.whole]
@@ -394,12 +415,15 @@ def cut(column: pa.Array, found: pa.Array) -> pa.Array:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without the copies of passages; a passage stays in the document of least id. Those of which nothing is left go; those without copies are unchanged. n_chars is the new length."""
-    found = repeats(docs).where("not is_first").groupBy(F.col("doc_id").alias("_of_")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_cut_"))
+    """The documents without the copies of passages; a passage stays in the document of least id. Those of which nothing is left go; those without copies, and of null or empty texts, are unchanged. n_chars is the new length.
+
+    Of rows that repeat an id the same words are cut; an empty table stays empty; other columns are passed on, whatever their names."""
+    of, spans_ = (next(n for n in (f"_{k}{x}_" for x in range(1 << 30)) if n not in docs.columns) for k in ("of", "cut"))
+    found = stored(repeats(docs).where("not is_first").groupBy(F.col("doc_id").alias(of)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(spans_)))
     shorter = F.arrow_udf(cut, "string")
-    joined = docs.join(found.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_of_"), "left")
-    same = joined.where("_cut_ is null").select(docs.columns)
-    less = joined.where("_cut_ is not null and text is not null").withColumn("text", shorter(F.col("text").cast("string"), F.col("_cut_"))).where("text is not null")
+    joined = docs.join(found.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col(of), "left")
+    same = joined.where(F.col(spans_).isNull()).select(docs.columns)
+    less = joined.where(F.col(spans_).isNotNull() & F.col("text").isNotNull()).withColumn("text", shorter(F.col("text").cast("string"), F.col(spans_))).where("text is not null")
     if "n_chars" in docs.columns:
         less = less.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return same.unionByName(less.select(docs.columns))
