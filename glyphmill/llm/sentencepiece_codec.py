@@ -17,16 +17,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm.arrays import U, large, mix, slices
-from glyphmill.llm.session import table
+from glyphmill.llm.session import released, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segments of which the ids are kept; characters above which a segment is streamed; segments searched in step.
-KEPT, LONG, LANES = 300_000, 48, 20_000
+KEPT, LONG, LANES = 200_000, 48, 10_000
 SEGMENT = re.compile(r" *[^ \n]+|\n| +")
 _BASE = U(0x9E3779B97F4A7C15)
 
@@ -362,6 +363,7 @@ def encode(column: pa.Array, path: str) -> pa.ListArray:
         data.append(b"".join(ids))
     offsets = np.zeros(len(column) + 1, np.int32)
     np.cumsum(np.array(sizes, np.int64), out=offsets[1:])
+    released()
     mask = np.append(np.asarray(column.is_null()), False) if column.null_count else None
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=mask), pa.array(np.frombuffer(b"".join(data), np.int32)))
 
@@ -410,7 +412,8 @@ def codec(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col:
     """doc_id, ids and decoded (the text that the ids give back, which equals the one encoded): one row for each row.
 
     Ids are those of the SentencePiece library, but that a U+2581 in a text is encoded by its bytes and not taken for a space, so that decoding gives every text back.
-    A null text has null ids, an empty one no ids; repeated rows repeat; other columns are left out; a vocabulary's file must be readable by all executors."""
+    A null text has null ids, an empty one no ids; long runs without a boundary are streamed through a bounded window, however long the text; ties can't be, as the path is unique; repeated rows repeat; other columns are left out; an empty
+    table gives none. A vocabulary's file must be readable by all executors."""
 
     # both ways in one function: decoding a column that another function gives would encode it a second time
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")
@@ -426,6 +429,15 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids and n_tokens of every document; of a null text both are null."""
-    found = docs.withColumn("ids", encoded(F.col("text").cast("string")))
-    return found.select("doc_id", "lang", "source", "ids", F.when(F.col("ids").isNotNull(), F.size("ids")).alias("n_tokens"))
+    """The documents' columns but text and n_chars, with ids, n_tokens and round_trip (whether decoding the ids gives the text back): one row for each row.
+
+    Of a null text all three are null; an empty text has no ids, and comes back; very long texts are encoded through a bounded window; repeated rows repeat; columns called ids, n_tokens, round_trip or _codec_ are replaced; an empty table gives none."""
+
+    @F.arrow_udf("struct<ids:array<int>,round_trip:boolean>")
+    def both(column: pa.Array) -> pa.Array:
+        ids = encode(column, MODEL)
+        return pa.StructArray.from_arrays([ids, pc.equal(decode(ids, vocabulary(MODEL)), column.cast(pa.string()))], ["ids", "round_trip"])
+
+    kept = [c for c in docs.columns if c not in ("text", "n_chars", "ids", "n_tokens", "round_trip", "_codec_")]
+    found = docs.withColumn("_codec_", both(F.col("text").cast("string")))
+    return found.select(*kept, "_codec_.ids", F.when(F.col("_codec_.ids").isNotNull(), F.size("_codec_.ids")).alias("n_tokens"), "_codec_.round_trip")
