@@ -5,6 +5,10 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 FLAGS = {
     "CASE": "C", "IGNORECASE": "I", "RAWCHARS": "R", "NEGATE": "N", "MINUSNEGATE": "M", "GLOBSTAR": "G", "DOTGLOB": "D", "EXTGLOB": "E",
@@ -202,6 +206,13 @@ class Matcher:
     def __call__(self, text: str) -> bool:
         return any(p.fullmatch(text) for p in self.yes) and not any(p.fullmatch(text) or p.fullmatch(text.lstrip("/")) for p in self.no)
 
+    def column(self, text: Column) -> Column:
+        """The same as an expression."""
+        whole = lambda p: rf"\A(?{'iuU' if p.flags & re.IGNORECASE else 'U'}:{p.pattern})\z"
+        any_ = lambda patterns, of: reduce(lambda a, b: a | b, (of.rlike(whole(p)) for p in patterns), F.lit(False))
+        found = any_(self.yes, text)
+        return found & ~any_(self.no, text) & ~any_(self.no, F.regexp_replace(text, "^/+", "")) if self.no else found
+
     def roots(self) -> list[tuple[str, bool]]:
         """For each positive pattern the longest folder that has no special character, and whether deeper folders can match."""
         out = []

@@ -184,6 +184,10 @@ ALLOW, SKIP, HALT = 0, 1, 2
 class FlowControl(Step):
     """Says for a category what the next filter does with its chunks: ALLOW applies it, SKIP passes by it, HALT goes straight to the checker."""
 
+    def columns(self, category: Column) -> tuple[Column, Column] | None:
+        """Whether it allows and whether it halts, as expressions over any category; None if it has none."""
+        return None
+
     def adjust(self, category: str) -> int:
         return ALLOW
 

@@ -52,37 +52,47 @@ def known_forms(word: Column) -> Column:
 
 
 def sized(dictionary: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """With a hint to broadcast it if its words, counted, are few enough."""
+    """The dictionary's words as _known_. One that is small enough by measure is fetched, once, and broadcast; of a larger one only the words up to the bound are ever fetched."""
     dictionary = dictionary.select(F.col("word").alias("_known_"))
-    size = dictionary.agg(F.sum(F.octet_length("_known_") + 16)).first()[0] or 0
-    return F.broadcast(dictionary) if size <= most else dictionary
+    rows = most // 32  # of a word's bytes and what a row costs besides
+    found = dictionary.limit(rows + 1).toArrow()
+    if found.num_rows > rows or found.nbytes > most:
+        return dictionary
+    return F.broadcast(dictionary.sparkSession.createDataFrame(found, dictionary.schema))
 
 
-def unknown(pairs: DataFrame, dictionary: DataFrame, fold_case: bool = True) -> DataFrame:
-    """Of rows with a word those whose word isn't known. Distinct words are looked up once each, and the rows joined back to the unknown ones."""
-    vocabulary = pairs.select("word").distinct()
+def is_small(known: DataFrame) -> bool:
+    return "ResolvedHint" in known._jdf.queryExecution().analyzed().toString()
+
+
+def unknown(rows: DataFrame, dictionary: DataFrame, fold_case: bool = True) -> DataFrame:
+    """Of rows with a word those whose word isn't known; rows whose word is null stay.
+
+    A dictionary that is broadcast is looked up row by row: nothing is shuffled by word. For a larger one the distinct words are looked up once each, and the rows joined to those found."""
     known = sized(dictionary)
-    if fold_case:
-        looked = vocabulary.select("word", F.explode(known_forms(F.col("word"))).alias("form"))
+    if not is_small(known):
+        looked = rows.select("word").distinct().select("word", F.explode(known_forms(F.col("word")) if fold_case else F.array("word")).alias("form"))
         found = looked.join(known, looked["form"] == known["_known_"], "left_semi").select(F.col("word").alias("_found_")).distinct()
-        return pairs.join(found, pairs["word"] == found["_found_"], "left_anti")
-    return pairs.join(known, pairs["word"] == known["_known_"], "left_anti")
+        return rows.join(found, rows["word"] == found["_found_"], "left_anti")
+    left = rows.join(known, rows["word"] == known["_known_"], "left_anti")
+    if not fold_case:
+        return left
+    return left.join(known, F.get(known_forms(left["word"]), F.lit(1)) == known["_known_"], "left_anti")
 
 
 def check(chunks: DataFrame, dictionary: DataFrame, pattern: str = WORD, fold_case: bool = True) -> DataFrame:
     """Results (src_id, path, words, context, category, error) of chunks.
 
     words: distinct and sorted by code point; empty for a chunk without any unknown one. Blank chunks have no result. Chunks with an error have it and no words.
-    Binary chunks are read as UTF-8 with what isn't left out."""
+    Binary chunks are read as UTF-8 with what isn't left out. Chunks of one source and path, context and category have one result. The chunks are computed once:
+    each brings a row of its own, without a word, beside those of its words."""
     text = F.coalesce(F.col("text"), F.expr("try_validate_utf8(cast(raw as string))"), F.lit(""))
-    checked = chunks.where("error is null").withColumn("text", text).where(~F.col("text").rlike(BLANK))
-    split = checked.select("src_id", "path", "context", "category", F.array_distinct(words(F.col("text"), pattern)).alias("all"))
-    pairs = split.select("src_id", "path", F.explode("all").alias("word"))
-    bad = unknown(pairs, dictionary, fold_case).groupBy("src_id", "path").agg(F.sort_array(F.collect_set("word")).alias("words"))
-    results = split.drop("all").join(bad, ["src_id", "path"], "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
-    failed = chunks.where("error is not null").withColumn("words", F.array().cast("array<string>"))
-    order = ["src_id", "path", "words", "context", "category"]
-    return results.select(*order, F.lit(None).cast("string").alias("error")).unionByName(failed.select(*order, "error"))
+    order = ["src_id", "path", "context", "category", "error"]
+    checked = chunks.withColumn("text", text).where(F.col("error").isNotNull() | ~F.col("text").rlike(BLANK))
+    found = F.when(F.col("error").isNull(), F.array_distinct(words(F.col("text"), pattern))).otherwise(F.array().cast("array<string>"))
+    each = checked.select(*order, F.explode(F.concat(found, F.array(F.lit(None).cast("string")))).alias("word"))
+    bad = unknown(each, dictionary, fold_case)
+    return bad.groupBy(*order).agg(F.sort_array(F.collect_set("word")).alias("words")).select("src_id", "path", "words", "context", "category", "error")
 
 
 def report(results: DataFrame) -> tuple[str, bool]:

@@ -5,8 +5,12 @@ The engine's own checker needs none; this is for those who have the programs and
 
 from __future__ import annotations
 
+import codecs
+import os
 import subprocess
+import tempfile
 from collections.abc import Iterator
+from contextlib import nullcontext
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,17 +69,43 @@ def safe_encoding(encoding: str) -> str:
     return "utf-8" if not encoding or encoding.startswith(("utf-16", "utf-32")) else encoding
 
 
-def ask(command: list[str], lines: list[bytes]) -> list[str]:
-    """Distinct sorted words that the program prints; a RuntimeError with what it said if it fails."""
-    done = subprocess.run(command, input=b"\n".join(lines) + b"\n", stdout=subprocess.PIPE, stderr=subprocess.STDOUT, check=False)
+def ask(command: list[str], given: bytes | None) -> list[str]:
+    """The lines that the program prints; a RuntimeError with what it said if it fails."""
+    done = subprocess.run(command, input=given, stdin=subprocess.DEVNULL if given is None else None, stdout=subprocess.PIPE, stderr=subprocess.STDOUT, check=False)
     said = done.stdout.decode("utf-8", "replace")
     if done.returncode:
         raise RuntimeError(said.strip() or f"{command[0]} ended with {done.returncode}")
-    return sorted({w for w in said.replace("\r", "").split("\n") if w})
+    return [w for w in said.replace("\r", "").split("\n") if w]
+
+
+def sentinel(number: int) -> str:
+    """A word that no dictionary has, for the end of a chunk."""
+    letters = []
+    while number or not letters:
+        number, k = divmod(number, 26)
+        letters.append(chr(97 + k))
+    return "Qzxvqjwzk" + "".join(letters) + "qzxjvkqw"
+
+
+def ask_all(command: list[str], chunks: list[list[bytes]], encoding: str) -> list[list[str]] | None:
+    """The words printed for each of several chunks by one process, told apart by what it prints between them; None if that can't be told."""
+    marks = [sentinel(k) for k in range(len(chunks))]
+    lines = [line for chunk, mark in zip(chunks, marks) for line in (*chunk, mark.encode(encoding))]
+    try:
+        said = ask(command, b"\n".join(lines) + b"\n")
+    except RuntimeError:
+        return None
+    places = {w: i for i, w in enumerate(said) if w.startswith("Qzxvqjwzk")}
+    at = [places.get(mark, -1) for mark in marks]
+    if len(places) != len(marks) or sorted(at) != at or at[0] < 0:
+        return None
+    return [said[a + 1 : b] for a, b in zip([-1, *at], at)]
 
 
 def check_by(chunks: DataFrame, program: str = "aspell", given: dict | None = None, dictionary: str = "", binary: str | None = None) -> DataFrame:
-    """Results as of the engine's own checker, by a program. Whatever goes wrong with a chunk, also one that its encoding can't hold, is that chunk's error."""
+    """Results as of the engine's own checker, by a program. Whatever goes wrong with a chunk, also one that its encoding can't hold, is that chunk's error.
+
+    Chunks of a batch and an encoding go through one process; only if that fails, or its answers can't be told apart, each has its own."""
     if program not in ("aspell", "hunspell"):
         raise ValueError(f"{program!r} is no known checker")
     make = aspell if program == "aspell" else hunspell
@@ -83,7 +113,7 @@ def check_by(chunks: DataFrame, program: str = "aspell", given: dict | None = No
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, asked = [], {}
             for row in batch.to_pylist():
                 result = {k: row[k] for k in ("src_id", "path", "context", "category", "error")} | {"words": []}
                 text = row["text"] if row["text"] is not None else (row["raw"] or b"").decode("utf-8", "replace")
@@ -92,10 +122,61 @@ def check_by(chunks: DataFrame, program: str = "aspell", given: dict | None = No
                         continue
                     encoding = safe_encoding(row["encoding"] or "")
                     try:
-                        result["words"] = ask(make(encoding, given, dictionary, None, binary or program), [x for x in short_lines(text, encoding) if x.strip()])
+                        asked.setdefault(encoding, []).append((result, [x for x in short_lines(text, encoding) if x.strip()]))
                     except Exception as e:
                         result["error"] = f"{type(e).__name__}: {e}"
                 out.append(result)
+            for encoding, some in asked.items():
+                command = make(encoding, given, dictionary, None, binary or program)
+                found = ask_all(command, [lines for _, lines in some], encoding) if len(some) > 1 else None
+                for k, (result, lines) in enumerate(some):
+                    try:
+                        result["words"] = sorted(set(found[k] if found else ask(command, b"\n".join(lines) + b"\n")))
+                    except Exception as e:
+                        result["error"] = f"{type(e).__name__}: {e}"
             yield pa.RecordBatch.from_pylist(out, schema)
 
     return chunks.mapInArrow(apply, RESULT)
+
+
+def check_files(found: DataFrame, program: str, given: dict | None = None, dictionary: str = "", binary: str | None = None, encoding: str = "") -> DataFrame:
+    """Results for whole files (src_id, context: the path, raw), which no pipeline has read: Aspell gets a file's bytes and name, Hunspell its name.
+
+    A file that isn't on the worker's own file system has a temporary copy while it is checked."""
+    schema = to_arrow_schema(RESULT)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for src, context, raw in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if raw is None or program == "aspell" and not raw.strip():
+                    continue
+                result = {"src_id": src, "path": [0], "words": [], "context": context, "category": "file", "error": None}
+                try:
+                    with nullcontext() if os.path.exists(context) else tempfile.NamedTemporaryFile() as copy:
+                        if copy:
+                            copy.write(raw)
+                            copy.flush()
+                        name = copy.name if copy else context
+                        command = aspell(encoding, given, dictionary, name, binary or program) if program == "aspell" else hunspell(encoding, given, dictionary, name, binary or program)
+                        result["words"] = sorted(set(ask(command, raw if program == "aspell" else None)))
+                except Exception as e:
+                    result["error"] = f"{type(e).__name__}: {e}"
+                out.append(result)
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return found.select(*(found[c].cast("string") for c in ("src_id", "context")), "raw").mapInArrow(apply, RESULT)
+
+
+def compile_words(words: DataFrame, program: str, output: str, lang: str = "en", encoding: str = "utf-8", binary: str | None = None) -> str:
+    """Writes the words (word: distinct), sorted, as the program's own dictionary. The file is one that a program on each worker loads whole, so that its words may come to the driver."""
+    os.makedirs(os.path.dirname(os.path.abspath(output)), exist_ok=True)
+    if os.path.exists(output):
+        os.remove(output)
+    raw = b"".join(r.word.encode(encoding) + b"\n" for r in words.orderBy("word").toLocalIterator())
+    if program == "aspell":
+        ask([binary or program, "--lang", lang, "--encoding", codecs.lookup(encoding).name, "create", "master", output], raw)
+    else:
+        with open(output, "wb") as f:
+            f.write(raw)
+    return output

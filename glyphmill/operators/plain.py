@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -123,16 +124,19 @@ class ContextFilter(Filter):
         outside = self.config["context_visible_first"]
         out: list[str] = []
         at = last = 0
-        while at < len(text):
-            if self.escape and (m := self.escape.match(text, at)):
-                at = m.end()
-                continue
-            m = next((m for p in self.marks if (m := p.match(text, at))), None)
-            if m:
-                out.append(text[last:at] if outside else m["_content_"])
-                at = last = m.end()
-            else:
-                at += 1
+        patterns = [*([self.escape] if self.escape else []), *self.marks]
+        ahead = [p.search(text) for p in patterns]  # the next match of each
+        while True:
+            for k, m in enumerate(ahead):
+                if m and m.start() < at:
+                    ahead[k] = patterns[k].search(text, at)
+            m = min((m for m in ahead if m), key=lambda m: m.start(), default=None)  # of equal places the first pattern's
+            if m is None or m.start() >= len(text):
+                break
+            if m.re is not self.escape:
+                out.append(text[last : m.start()] if outside else m["_content_"])
+                last = m.end()
+            at = max(m.end(), m.start() + 1)
         if outside and last < len(text):
             out.append(text[last:])
         return out
@@ -178,6 +182,13 @@ class WildcardControl(FlowControl):
     def setup(self) -> None:
         self.match = {k: [Matcher(p, self.FLAGS, 0, False) for p in v] for k, v in self.config.items()}
 
+    def columns(self, category: Column) -> tuple[Column, Column]:
+        """(allowed, halted) as expressions, for categories that aren't known beforehand."""
+        self.ready()
+        hit = lambda k: reduce(lambda a, b: a | b, (m.column(category) for m in self.match[k]), F.lit(False))
+        allow, halt, skip = (hit(k) for k in ("allow", "halt", "skip"))
+        return allow & ~halt & ~skip, allow & halt
+
     def adjust(self, category: str) -> int:
         self.ready()
         hit = lambda k: any(m(category) for m in self.match[k])

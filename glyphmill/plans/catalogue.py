@@ -31,10 +31,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from glyphmill.plans import file_queries  # noqa: F401 - adds its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
 
 
@@ -81,10 +84,7 @@ def misspelled_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TOKENS} SELECT lang, count(DISTINCT doc_id) AS n_docs, count(*) AS n_pairs, count(DISTINCT w) AS n_words FROM tok JOIN documents USING (doc_id) WHERE w NOT IN (SELECT w FROM dict) GROUP BY lang")
 def misspelled_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a pair of document and word is one row, so that words are counted by language first and need no distinct of three
-    by_word = _bad(spark, sf_dir).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    docs = _bad(spark, sf_dir).groupBy("lang", "doc_id").agg(F.lit(1).alias("one")).groupBy("lang").agg(F.count("*").alias("n_docs"))
-    return by_word.groupBy("lang").agg(F.sum("n").alias("n_pairs"), F.count("*").alias("n_words")).join(docs, "lang").select("lang", "n_docs", "n_pairs", "n_words")
+    return _bad(spark, sf_dir).groupBy("lang").agg(F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("n_pairs"), F.count_distinct("word").alias("n_words"))
 
 
 @query(f"WITH {_TOKENS} SELECT source, count(*) AS n_pairs FROM tok JOIN documents USING (doc_id) WHERE w NOT IN (SELECT w FROM dict) GROUP BY source")
@@ -184,11 +184,12 @@ def nfc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(table(spark, sf_dir, "documents"), "doc_id", "text", [{"text": {"normalize": "nfc"}}]).select("doc_id", "text")
 
 
-@query("SELECT category, count(*) AS n FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'src0' ELSE source END AS category, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE text END AS text FROM documents) WHERE regexp_matches(text, '\\S') GROUP BY category")
+@query("SELECT source AS category, count(*) AS n FROM documents WHERE regexp_matches(text, '\\S') GROUP BY source")
 def blank_chunk_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    third = F.col("doc_id") % 3 == 0
-    docs = table(spark, sf_dir, "documents").select(F.when(third, F.lit("src0")).otherwise(F.col("source")).alias("category"), F.when(third, F.lit("\u2003\u00a0")).otherwise(F.col("text")).alias("text"))
-    return docs.where(~F.col("text").rlike(BLANK)).groupBy("category").agg(F.count("*").alias("n"))
+    """Each document, and beside it a blank one."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("category"), "text")
+    blank = docs.withColumn("text", F.lit("\u2003\u00a0"))
+    return docs.unionByName(blank).where(~F.col("text").rlike(BLANK)).groupBy("category").agg(F.count("*").alias("n"))
 
 
 # ---- encodings
@@ -328,42 +329,72 @@ def markdown_to_html_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- source code
 
 
-def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts without what would end a comment or a string."""
-    docs = table(spark, sf_dir, "documents").where(r"text rlike '\\S'")
-    return docs.select("doc_id", F.regexp_replace(F.translate("text", "\r\\", ""), r"[*\"'`/$]", "").alias("text"))
+def _code(spark: SparkSession, sf_dir: str, *ends: str) -> DataFrame:
+    """Whole texts, after an x; of what would end a comment the characters are parted by a blank."""
+    text = F.concat(F.lit("x"), F.replace("text", F.lit("\r"), F.lit("\n")))
+    for end in ends:
+        text = F.replace(text, F.lit(end), F.lit(" ".join(end)))
+    return table(spark, sf_dir, "documents").where(r"text rlike '\\S'").select("doc_id", text.alias("text"))
 
 
-_CODE_SQL = r"code AS (SELECT doc_id, regexp_replace(translate(text, chr(13) || '\', ''), '[*\"''`/$]', '', 'g') AS text FROM documents WHERE regexp_matches(text, '\S'))"
+_CODE_SQL = r"code AS (SELECT doc_id, 'x' || replace(replace(text, chr(13), chr(10)), '*/', '* /') AS text FROM documents WHERE regexp_matches(text, '\S'))"
+_RAW_SQL = r"code AS (SELECT doc_id, 'x' || replace(text, chr(13), chr(10)) AS text FROM documents WHERE regexp_matches(text, '\S'))"
 _LINES_SQL = "array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_matches(x, '^[ \\t]*$') THEN '' ELSE x END), chr(10))"
 
 
-@query(f"WITH {_CODE_SQL} SELECT doc_id, 1::BIGINT AS n, {_LINES_SQL} AS texts FROM code WHERE NOT regexp_matches(text, '^[ \\t]')")
+@query(f"WITH {_CODE_SQL} SELECT doc_id, 1::BIGINT AS n, {_LINES_SQL} AS texts FROM code")
 def cpp_block_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _code(spark, sf_dir).where(r"not text rlike '^[ \\t]'").withColumn("code", F.concat(F.lit("int x = 1; /*"), "text", F.lit("*/ char y = 'z';")))
+    docs = _code(spark, sf_dir, "*/").withColumn("code", F.concat(F.lit("int x = 1; /*"), "text", F.lit("*/ char y = 'z';")))
     return in_order(run(docs, "doc_id", "code", ["cpp"]), "doc_id", "cpp-block-comment")
 
 
-@query(f"WITH {_CODE_SQL} SELECT doc_id, 2::BIGINT AS n, {_LINES_SQL} || chr(10) || 'tail' AS texts FROM code WHERE NOT regexp_matches(text, '^[ \\t]')")
+@query(f"WITH {_CODE_SQL} SELECT doc_id, 2::BIGINT AS n, {_LINES_SQL} || chr(10) || 'tail' AS texts FROM code")
 def css_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _code(spark, sf_dir).where(r"not text rlike '^[ \\t]'").withColumn("code", F.concat(F.lit("a { b: c } /*"), "text", F.lit("*/\na { b: c } //tail\n")))
+    docs = _code(spark, sf_dir, "*/").withColumn("code", F.concat(F.lit("a { b: c } /*"), "text", F.lit("*/\na { b: c } //tail\n")))
     return in_order(run(docs, "doc_id", "code", [{"stylesheets": {"stylesheets": "scss"}}]), "doc_id")
 
 
-@query(f"WITH {_CODE_SQL} SELECT doc_id, {_LINES_SQL} AS text FROM code WHERE NOT regexp_matches(text, '^[ \\t]')")
+@query(f"WITH {_RAW_SQL} SELECT doc_id, {_LINES_SQL} AS text FROM code")
 def js_line_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line of a text as a line comment: grouped, they are the text."""
-    docs = _code(spark, sf_dir).where(r"not text rlike '^[ \\t]'").withColumn("code", F.concat(F.lit("let a = `x${'y'}`;\n//"), F.replace("text", F.lit("\n"), F.lit("\n//"))))
+    docs = _code(spark, sf_dir).withColumn("code", F.concat(F.lit("let a = `x${'y'}`;\n//"), F.replace("text", F.lit("\n"), F.lit("\n//"))))
     return run(docs, "doc_id", "code", [{"javascript": {"group_comments": True}}]).where("category = 'js-line-comment'").select("doc_id", "text")
 
 
-@query(f"WITH {_CODE_SQL} SELECT doc_id, {_LINES_SQL} AS docstring, 'note' AS comment FROM code WHERE NOT regexp_matches(text, '^[ \\t]')")
+@query(f"WITH {_RAW_SQL} SELECT doc_id, {_LINES_SQL} AS docstring, 'note' AS comment FROM code")
 def py_docstrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _code(spark, sf_dir).where(r"not text rlike '^[ \\t]'").withColumn("code", F.concat(F.lit('class A:\n    def b(self):\n        """'), "text", F.lit('"""\n        return "no"  #note\n')))
+    """Texts as docstrings; quotes and backslashes are escaped in the source, and come back."""
+    escaped = F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    docs = _code(spark, sf_dir).withColumn("code", F.concat(F.lit('class A:\n    def b(self):\n        """'), escaped, F.lit('"""\n        return "no"  #note\n')))
     of = lambda c: F.max(F.when(F.col("category") == c, F.col("text")))
     return run(docs, "doc_id", "code", ["python"]).groupBy("doc_id").agg(of("py-docstring").alias("docstring"), of("py-comment").alias("comment"))
 
 
+@query(f"WITH {_RAW_SQL} SELECT doc_id, category, count(*) AS n, string_agg(text, chr(10)) AS texts FROM (SELECT doc_id, 'py-string' AS category, text FROM code UNION ALL SELECT doc_id, 'py-comment', 'tail' FROM code) GROUP BY doc_id, category")
+def py_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as string literals, of which escapes are decoded; bytes and raw strings are not asked for."""
+    escaped = F.replace(F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("\n"), F.lit("\\n"))
+    docs = _code(spark, sf_dir).withColumn("code", F.concat(F.lit("a = '"), escaped, F.lit("'\nb = b'no' + r'no'  # tail\n")))
+    chunks = run(docs, "doc_id", "code", [{"python": {"strings": True, "string_types": "u"}}]).where("error is null")
+    return chunks.groupBy("doc_id", "category").agg(F.count("*").alias("n"), joined(F.collect_list(F.trim("text"))).alias("texts"))
+
+
+@query(f"WITH {_RAW_SQL} SELECT doc_id, text FROM code")
+def js_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as string literals of JavaScript."""
+    escaped = F.replace(F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("\n"), F.lit("\\n"))
+    docs = _code(spark, sf_dir).withColumn("code", F.concat(F.lit("let a = '"), escaped, F.lit("'; // tail\n")))
+    return run(docs, "doc_id", "code", [{"javascript": {"strings": True}}]).where("category = 'js-strings'").select("doc_id", "text")
+
+
+@query(f"WITH {_RAW_SQL} SELECT doc_id, text FROM code")
+def cpp_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as string literals of C++."""
+    escaped = F.replace(F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    docs = _code(spark, sf_dir).withColumn("code", F.concat(F.lit('auto a = u8"'), escaped, F.lit("\"; char b = 'c'; // tail\n")))
+    return run(docs, "doc_id", "code", [{"cpp": {"strings": True}}]).where("category = 'cpp-string'").select("doc_id", "text")
+
+
 @query(r"""
 WITH l AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS line, unnest(s) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)),
 c AS (SELECT doc_id, line, regexp_extract(text, '^([ \t]*)[A-M]([^\n]*)$', 2) AS comment, regexp_extract(text, '^([ \t]*)[A-M]([^\n]*)$', 1) AS indent FROM l WHERE regexp_matches(text, '^[ \t]*[A-M][^\n]*$')),
@@ -383,13 +414,13 @@ _ROUTE = "CASE WHEN NOT regexp_matches(source, '^src1[0-9]$|^src[2-5]$') THEN 's
 _RULES = {"wildcard": {"allow": ["src1[0-9]", "src{2..5}"], "skip": ["src11|SRC12"], "halt": ["src13"]}}
 
 
-@query(f"SELECT doc_id, source, {_ROUTE} AS route FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, {_ROUTE} AS route, length(text)::BIGINT AS n_chars FROM documents WHERE text IS NOT NULL")
 def wildcard_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a flow control says for each document, whose source is its category: the filter after it changes the category, a halt is marked."""
-    docs = table(spark, sf_dir, "documents")
-    chunks = run(docs.withColumn("text", F.when(F.col("text").isNotNull(), F.col("source"))), "doc_id", "text", [_RULES, "url"], F.col("source"))
-    route = F.when(F.col("halted"), "halt").when(F.col("category") == "url-free", "allow").otherwise("skip")
-    return chunks.select("doc_id", F.col("text").alias("source"), route.alias("route"))
+    keep = {"context": {"context_visible_first": True, "normalize_line_endings": False, "delimiters": [{"open": "\ue123", "close": "\ue123"}]}}
+    chunks = run(table(spark, sf_dir, "documents"), "doc_id", "text", [_RULES, keep], F.col("source"))
+    route = F.when(F.col("halted"), "halt").when(F.col("category") == "context", "allow").otherwise("skip")
+    return chunks.select("doc_id", route.alias("route"), F.length("text").cast("long").alias("n_chars"))
 
 
 @query(f"SELECT route, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM (SELECT {_ROUTE} AS route, CASE WHEN {_ROUTE} = 'allow' THEN nfc_normalize(replace(text, chr(13), chr(10))) WHEN {_ROUTE} = 'halt' THEN text ELSE nfc_normalize(text) END AS text FROM documents WHERE text IS NOT NULL) GROUP BY route")
@@ -398,10 +429,10 @@ def pipeline_skip_halt(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     steps = [_RULES, {"context": {"context_visible_first": True, "delimiters": [{"open": "\ue123", "close": "\ue123"}]}}, {"text": {"normalize": "nfc"}}]
     kept = docs.select("doc_id", "source", "text")
-    chunks = run(kept, "doc_id", "text", steps, F.col("source"), None)
-    by_id = chunks.select("doc_id", F.length("text").alias("size")).join(kept.select("doc_id", "source"), "doc_id")
-    route = F.when(~F.col("source").rlike("^src1[0-9]$|^src[2-5]$"), "skip").when(F.col("source") == "src13", "halt").when(F.col("source").rlike("^src1[12]$"), "skip").otherwise("allow")
-    return by_id.groupBy(route.alias("route")).agg(F.count("*").alias("n"), F.sum("size").cast("long").alias("n_chars"))
+    built = pipeline.build(["text", *steps])[1:]
+    chunks = pipeline.apply(pipeline.chunks_of(kept, "doc_id", "text", F.col("source"), F.col("source")), built)
+    route = F.when(~F.col("context").rlike("^src1[0-9]$|^src[2-5]$"), "skip").when(F.col("context") == "src13", "halt").when(F.col("context").rlike("^src1[12]$"), "skip").otherwise("allow")
+    return chunks.groupBy(route.alias("route")).agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("n_chars"))
 
 
 @query(f"""

@@ -1,7 +1,7 @@
 """A pipeline of steps as a plan over chunks.
 
 Steps that are expressions stay in the JVM. Neighbouring steps that need Python run in one Arrow function, so that chunks cross over once.
-Where all categories that can come to a flow control are known, it is decided when the plan is made.
+Where all categories that can come to a flow control are known, it is decided when the plan is made; wildcards over unknown ones are expressions, too.
 """
 
 from __future__ import annotations
@@ -101,9 +101,9 @@ def guard(steps: list[Step]) -> list[Guarded]:
 
 
 def flow(control: FlowControl, category: Column, known: set[str] | None) -> tuple[Column, Column] | None:
-    """(allowed, halted) for a category column, decided here for all categories that can come; None if they aren't known."""
+    """(allowed, halted) for a category column: decided here for all categories that can come, if they are known; else by the control's expressions, None if it has none."""
     if known is None:
-        return None
+        return control.columns(category)
     by = {c: control.adjust(c) for c in sorted(known)}
     pick = lambda status: [c for c, s in by.items() if s == status]
     return (category.isin(pick(ALLOW)) if pick(ALLOW) else F.lit(False)), (category.isin(pick(HALT)) if pick(HALT) else F.lit(False))

@@ -100,7 +100,7 @@ def dictionary_of(spark: SparkSession, task: Task, base: DataFrame | None, skip_
     lists = list(given.get("wordlists", []))
     own = None
     output = given.get("output")
-    if output and skip_compile and os.path.exists(output):
+    if output and skip_compile and files.exists(spark, output):
         own = check.compiled(spark.read.text(output), column="value")
     elif lists:
         own = check.read_wordlists(spark, lists, given.get("encoding", "utf-8"))
@@ -111,11 +111,33 @@ def dictionary_of(spark: SparkSession, task: Task, base: DataFrame | None, skip_
     return check.compiled(*parts) if parts else spark.createDataFrame([], "word string")
 
 
-def chunks_of_task(spark: SparkSession, task: Task) -> DataFrame:
-    """Chunks of a task's files, after its pipeline. Without a pipeline a file is one chunk of the category "file"."""
+#: Where a program's dictionary is written if the task names no place.
+OUTPUT = "dictionary.dic"
+
+
+def program_dictionary(spark: SparkSession, task: Task, checker: str, binary: str = "", skip_compile: bool = False) -> str:
+    """The path of a task's lists as the program's own dictionary, "" if it has none."""
+    given = task.dictionary
+    lists, output = list(given.get("wordlists", [])), os.path.abspath(given.get("output", OUTPUT))
+    options = task.aspell if checker == "aspell" else {}
+    lang = options.get("lang", options.get("l", "en"))
+    if not lists or checker == "aspell" and not lang:
+        return ""
+    if skip_compile and os.path.exists(output):
+        return output
+    encoding = given.get("encoding", "utf-8")
+    return external.compile_words(check.read_wordlists(spark, lists, encoding), checker, output, lang, encoding if checker == "aspell" else "utf-8", binary or None)
+
+
+def files_of_task(spark: SparkSession, task: Task) -> DataFrame:
     if not task.sources:
         raise ValueError(f"the task {task.name!r} has no sources")
-    found = files.read(spark, task.sources, task.glob_flags, int(task.glob_pattern_limit), task.expect_match)
+    return files.read(spark, task.sources, task.glob_flags, int(task.glob_pattern_limit), task.expect_match)
+
+
+def chunks_of_task(spark: SparkSession, task: Task) -> DataFrame:
+    """Chunks of a task's files, after its pipeline. Without a pipeline a file is one chunk of the category "file"."""
+    found = files_of_task(spark, task)
     steps = pipeline.build(task.pipeline, task.default_encoding)
     if steps is None:
         return pipeline.first(found, WholeFile(default_encoding=task.default_encoding))
@@ -159,11 +181,14 @@ def spellcheck(
         raise ValueError(f"{checker!r} is no known checker")
     out = None
     for number, task in enumerate(chosen(tasks(config), names, groups, sources)):
-        chunks = chunks_of_task(spark, task)
         if checker == "builtin":
-            found = check.check(chunks, dictionary_of(spark, task, dictionary, skip_dict_compile))
+            found = check.check(chunks_of_task(spark, task), dictionary_of(spark, task, dictionary, skip_dict_compile))
         else:
-            found = external.check_by(chunks, checker, getattr(task, checker), task.dictionary.get("output", ""), binary or None)
+            own = program_dictionary(spark, task, checker, binary, skip_dict_compile)
+            if task.pipeline is None:
+                found = external.check_files(files_of_task(spark, task), checker, getattr(task, checker), own, binary or None, task.default_encoding)
+            else:
+                found = external.check_by(chunks_of_task(spark, task), checker, getattr(task, checker), own, binary or None)
         found = found.withColumns({"task_no": F.lit(number), "task": F.lit(task.name)})
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], RESULT).withColumns({"task_no": F.lit(0), "task": F.lit("")})

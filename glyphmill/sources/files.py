@@ -78,3 +78,9 @@ def stream(spark: SparkSession, folder: str, name_glob: str = "*") -> DataFrame:
     """The same rows of files that arrive in a folder, as a stream."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", name_glob).option("recursiveFileLookup", "true").load(folder)
     return files.select(F.col("path").alias("src_id"), F.col("path").alias("context"), F.col("content").alias("raw"))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on whatever file system it names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

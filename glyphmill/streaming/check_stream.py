@@ -13,13 +13,9 @@ from glyphmill.plans import pipeline
 def misspelled_stream(files: DataFrame, steps: list[Step], dictionary: DataFrame, pattern: str = check.WORD) -> DataFrame:
     """(src_id, path, context, category, word): the unknown words of files (src_id, context, raw) as they arrive. A word that a chunk has twice comes once.
 
-    The dictionary is joined as a static side, so that the stream needs neither watermark nor state."""
+    The dictionary, which must be small enough to be broadcast, is joined as a static side, so that the stream needs neither watermark nor state."""
     head, rest = steps[0], steps[1:]
     known = head.categories()
     chunks = pipeline.apply(pipeline.first(files, head), rest, set(known) if known is not None else None)
     words = chunks.where("error is null and text is not null").select("src_id", "path", "context", "category", F.explode(F.array_distinct(check.words(F.col("text"), pattern))).alias("word"))
-    forms = words.withColumn("_forms_", check.known_forms(F.col("word")))
-    static = check.sized(dictionary)
-    out = forms.join(static, F.get("_forms_", F.lit(0)) == static["_known_"], "left_anti")
-    folded = check.sized(dictionary).withColumnRenamed("_known_", "_folded_")
-    return out.join(folded, F.coalesce(F.get("_forms_", F.lit(1)), F.col("word")) == folded["_folded_"], "left_anti").drop("_forms_")
+    return check.unknown(words, dictionary)

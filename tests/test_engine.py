@@ -213,6 +213,91 @@ def test_external_program(spark, tmp_path):
     assert "broken" in row.error and row.words == []
 
 
+FAKE = """#!/bin/sh
+known=/dev/null; file=
+while [ $# -gt 0 ]; do
+  case "$1" in
+    create) exec cat > "$3" ;;
+    -p|--add-extra-dicts) known="$2"; shift ;;
+    -i|--encoding|--mode|--lang) shift ;;
+    list|-*) ;;
+    *) file="$1" ;;
+  esac
+  shift
+done
+echo x >> "$COUNTER"
+if [ "$known" != /dev/null ] && grep -q broken "$known"; then echo broken; exit 3; fi
+if [ -n "$file" ]; then exec < "$file"; fi
+grep -oE '[A-Za-z]+' | grep -vxF -f "$known"
+exit 0
+"""
+
+
+@pytest.fixture
+def fake(tmp_path):
+    path = tmp_path / "fake"
+    path.write_text(FAKE.replace("$COUNTER", str(tmp_path / "count")))
+    path.chmod(0o755)
+    return str(path)
+
+
+def test_one_process_for_a_batch(spark, tmp_path, fake):
+    df = chunks(spark, [(str(i), "yes helo\nbegn" if i % 3 else "yes", "a") for i in range(50)]).coalesce(1)
+    own = external.compile_words(spark.createDataFrame([("yes",)], "word string"), "aspell", str(tmp_path / "out" / "d.dic"), binary=fake)
+    assert open(own).read() == "yes\n"
+    got = {r.src_id: r.words for r in external.check_by(df, "aspell", {}, own, fake).collect()}
+    assert got == {str(i): ["begn", "helo"] if i % 3 else [] for i in range(50)}
+    assert len((tmp_path / "count").read_text().split()) == 1
+    broken = tmp_path / "broken"
+    broken.write_text("broken\n")
+    rows = external.check_by(df.limit(2), "hunspell", {}, str(broken), fake).collect()
+    assert len(rows) == 2 and all("broken" in r.error for r in rows)
+
+
+def test_answers_that_cannot_be_told_apart(tmp_path, fake):
+    assert external.ask_all([fake, "list"], [[b"one two"], [], [b"three"]], "utf-8") == [["one", "two"], [], ["three"]]
+
+    assert external.ask_all(["true"], [[b"a"], [b"b"]], "utf-8") is None
+    assert external.ask_all(["false"], [[b"a"], [b"b"]], "utf-8") is None
+
+
+@pytest.mark.parametrize("program", ["aspell", "hunspell"])
+def test_program_without_a_pipeline(spark, tmp_path, fake, program):
+    (tmp_path / "in.txt").write_text("helo yes begn")
+    (tmp_path / "words").write_text("yes\r\nyes\n\n")
+    task = {"name": "t", "sources": [f"{tmp_path}/in.txt"], "pipeline": None, "dictionary": {"wordlists": [str(tmp_path / "words")], "output": str(tmp_path / "made.dic")}}
+    (row,) = tasks.spellcheck(spark, config(task), checker=program, binary=fake).collect()
+    assert (row.category, row.words, row.error) == ("file", ["begn", "helo"], None) and (tmp_path / "made.dic").read_text() == "yes\n"
+    (tmp_path / "made.dic").write_text("helo\n")
+    (row,) = tasks.spellcheck(spark, config(task), checker=program, binary=fake, skip_dict_compile=True).collect()
+    assert row.words == ["begn", "yes"]
+    (row,) = tasks.spellcheck(spark, config(task | {"pipeline": ["text"]}), checker=program, binary=fake).collect()
+    assert row.words == ["begn", "helo"]
+
+
+def test_a_chunk_is_computed_once(spark, known):
+    df = pipeline.apply(chunks(spark, [("1", "<p>helo</p>", "text")]), pipeline.build(["text", "html"])[1:], {"text"})
+    plan = check.check(df, known)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("BroadcastHashJoin") == 2 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_large_and_small_dictionaries_agree(spark, known, monkeypatch):
+    df = chunks(spark, [("1", "Yes WORD wOrd helo helo", "a"), ("2", "good", "a"), ("3", " ", "a"), ("4", "", "a")])
+    small = sorted(check.check(df, known).collect())
+    monkeypatch.setattr(check, "sized", lambda d: d.select(F.col("word").alias("_known_")))
+    assert sorted(check.check(df, known).collect()) == small
+
+
+def test_wildcards_as_expressions(spark):
+    names = ["one", "Two", "src12", "a/b", "x-y", "", "été", "a.b", "/x"]
+    df = spark.createDataFrame([(n,) for n in names], "c string")
+    for rules in ({"allow": ["o*", "t?o"], "skip": ["one"]}, {"allow": ["src{1..12}|!*"], "halt": ["*"]}, {"allow": ["[a-x]*", "é*"], "halt": ["*[.]*"], "skip": ["x-?"]}, {"allow": ["*|!o*|!/x"]}):
+        control = pipeline.build(["text", {"wildcard": rules}])[1]
+        allowed, halted = control.columns(F.col("c"))
+        got = {r.c: (r.a, r.h) for r in df.select("c", allowed.alias("a"), halted.alias("h")).collect()}
+        assert got == {n: (control.adjust(n) == 0, control.adjust(n) == 2) for n in names}, rules
+
+
 def test_grouped_comments(spark):
     text = "// a\n// b\n  // c\nx // d\n// e\n// f"
     df = spark.createDataFrame([(1, text), (2, "")], "id int, text string")
