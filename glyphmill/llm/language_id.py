@@ -100,8 +100,8 @@ class Fit:
         return (self.mean - x @ self.logs) / (self.of_text + self.of_one / np.sqrt(np.maximum(trigrams, 1)))
 
 
-#: A text is as far below its language's mean as this many times the sample's last percentile at most.
-FARTHEST = 2.5
+#: A text is as far below its language's mean as this many times the sample's last percentile at most. Of a language with fewer texts in the sample than ENOUGH that isn't known, and no text is rejected for it.
+FARTHEST, ENOUGH = 2.5, 30
 
 
 def fitted(x: np.ndarray, trigrams: np.ndarray) -> Fit:
@@ -113,6 +113,8 @@ def fitted(x: np.ndarray, trigrams: np.ndarray) -> Fit:
     own = x @ logs
     long_ = own[trigrams >= np.median(trigrams)]
     first = Fit(logs.astype(np.float32), float(np.median(long_)), float(long_.std()) + 0.02, of_one, 0.0)
+    if len(x) < ENOUGH:
+        return Fit(first.logs, first.mean, first.of_text, first.of_one, float("inf"))
     return Fit(first.logs, first.mean, first.of_text, first.of_one, float(max(1.0, np.quantile(first.below(x, trigrams), 0.99))) * FARTHEST)
 
 

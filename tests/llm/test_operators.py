@@ -681,9 +681,9 @@ def test_matrix_opens_few_groups():
 
 def test_every_document_has_one_passage(spark):
     r = random.Random(31)
-    same = prose(r, 60, voc(2000, 4))
-    df = spark.createDataFrame([(i, " ".join(prose(r, 25, voc(2000, 4)) + same + prose(r, 25, voc(2000, 4)))) for i in range(300)], "doc_id long, text string")
-    got = {x.doc_id: x for x in jaccard_join.near_documents(df, threshold=0.3, shard_bytes=20_000).collect()}
+    same = prose(r, 120, voc(2000, 4))
+    df = spark.createDataFrame([(i, " ".join(prose(r, 10, voc(2000, 4)) + same + prose(r, 10, voc(2000, 4)))) for i in range(300)], "doc_id long, text string")
+    got = {x.doc_id: x for x in jaccard_join.near_documents(df, shard_bytes=20_000).collect()}
     assert set(got) == set(range(300)) and {x.class_id for x in got.values()} == {0} and all(x.n_links == 299 for x in got.values())
     found = suffix_dedup.repeats(df, shard_anchors=50).collect()
     assert {x.doc_id for x in found} == set(range(300)) and [x.doc_id for x in found if x.is_first] == [0]
