@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm.arrays import U, WORD_RE2, Words, grams, large, lists, mix, signed, slices
-from glyphmill.llm.session import stored, table, texts, tidied
+from glyphmill.llm.session import counted, table, texts, tidied
 
 MASKS = ("1101001101", "101110011", "1110001011")
 SPAN = max(map(len, MASKS))
@@ -102,8 +102,9 @@ def contaminated(docs: DataFrame, items: DataFrame, least: int = LEAST, bits: in
     Items of fewer than `least` words match nothing; items of fewer than SHORT words have seeds that find whatever SHARE lets differ; of longer ones the three masks find 0.92 at least of windows that barely reach SHARE.
     Rows without id or text find nothing, nor do empty texts; very long texts and items are compared near hits only; of ties the first place counts; rows that repeat an id are found once; other columns are left out; empty tables on either side give an empty result.
     The items' seeds are broadcast only if they take at most small_bytes by measure; else both sides are shuffled."""
-    bench = stored(item_seeds(items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null"), least))
-    n_bytes = bench.agg(F.coalesce(F.sum(F.size("item_near") * 8 + 60), F.lit(0))).first()[0]
+    given = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
+    bench, size = counted(item_seeds(given, least), F.sum(F.size("item_near") * 8 + 60).alias("bytes"))
+    n_bytes = size["bytes"] or 0
     short = sorted(r[0] for r in bench.where(F.col("n_words") < SHORT).select("n_words").distinct().collect())  # SHORT - 1 rows at most
     known = docs.sparkSession.sparkContext.broadcast(bitmap(bench, bits))
     masks = MASKS + tuple(m for n in short for m in short_masks(n))
@@ -185,6 +186,6 @@ OP6_SQL = _sql()
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in which no passage of the benchmark was found, unchanged; those without id or text, and of empty texts, stay. Of rows that repeat an id all stay or go; an empty table stays empty."""
-    bad = stored(contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_bad_")).distinct())
-    bad = bad.hint("broadcast" if bad.count() * 16 <= 32 << 20 else "shuffle_hash")
+    bad, size = counted(contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_bad_")).distinct())
+    bad = bad.hint("broadcast" if size["n"] * 16 <= 32 << 20 else "shuffle_hash")
     return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad_"), "left_anti")

@@ -68,12 +68,14 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S, id_col: str = "doc_id"
 
 
 def positional_matches(prints: DataFrame, min_anchors: int = 2) -> DataFrame:
-    """doc_a < doc_b, shift and n_anchors: how many anchors two documents share at the same distance between their places. Anchors found once in the corpus leave before the join."""
+    """doc_a < doc_b, shift and n_anchors: how many anchors a document shares with an earlier one at the same distance between their places. A document is held against the least one that has the
+    anchor, at its first place there, and not against all: an anchor of very many documents costs no more than its rows, and those that share a passage meet in its first document. No query runs this.
+
+    Null ids and empty lists match nothing; an empty table gives no rows."""
     one = prints.select("doc_id", F.explode(F.arrays_zip("positions", "anchors")).alias("x")).select("doc_id", F.col("x.positions").alias("at"), F.col("x.anchors").alias("anchor")).where("doc_id is not null")
-    shared = one.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    left = one.join(shared, "anchor", "left_semi")
-    a, b = left.select("anchor", F.col("doc_id").alias("doc_a"), F.col("at").alias("at_a")), left.select("anchor", F.col("doc_id").alias("doc_b"), F.col("at").alias("at_b"))
-    return a.join(b, "anchor").where("doc_a < doc_b").groupBy("doc_a", "doc_b", (F.col("at_a") - F.col("at_b")).alias("shift")).agg(F.count("*").alias("n_anchors")).where(F.col("n_anchors") >= min_anchors)
+    first = one.groupBy("anchor").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
+    met = one.join(first.select("anchor", F.col("first.doc_id").alias("doc_a"), F.col("first.at").alias("at_a")), "anchor").where("doc_a < doc_id")
+    return met.groupBy("doc_a", F.col("doc_id").alias("doc_b"), (F.col("at_a") - F.col("at")).alias("shift")).agg(F.count("*").alias("n_anchors")).where(F.col("n_anchors") >= min_anchors)
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.session import stored
+from glyphmill.llm.session import counted, stored
 
 
 def led(keys: DataFrame) -> DataFrame:
@@ -58,8 +58,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.withColumn("m", F.least(F.min("b").over(of), "a")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         small = down.withColumn("m", F.min("b").over(of))
-        now = stored(small.select(F.col("b").alias("x"), "m").union(small.select("a", "m")).toDF("a", "b").where("a <> b").distinct())
-        state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first()
+        now, state = counted(small.select(F.col("b").alias("x"), "m").union(small.select("a", "m")).toDF("a", "b").where("a <> b").distinct(), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("of"))
         if state == before:
             break
         before = state

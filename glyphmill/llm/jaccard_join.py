@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.arrays import U, WORD_RE2, Words, grams, large, lists, mix, signed, slices
 from glyphmill.llm.groups import components, gathered, led, runs
-from glyphmill.llm.session import stored, table, texts, tidied
+from glyphmill.llm.session import counted, stored, table, texts, tidied
 
 N, THRESHOLD, BANDS, ROWS, GROUP = 3, 0.5, 24, 2, 64
 #: Bytes of text in one shard, about; a leader's documents of more are cut into blocks, and any two blocks share a shard.
@@ -129,8 +129,8 @@ def sharded(docs: DataFrame, n: int, threshold: float, bands: int, rows: int, sh
     keys = one.select("doc_id", F.posexplode("bands").alias("band", "key")).select("doc_id", F.xxhash64("band", "key").alias("key"))
     edges = stored(led(keys).groupBy("doc_id").agg(F.sort_array(F.collect_set("leader")).alias("leaders")).join(one.select("doc_id", "n", "whole", "bytes"), "doc_id"))
     met = gathered(edges, docs).withColumn("leader", F.explode("leaders")).select("leader", "doc_id", "leaders", "n", "whole", "text")
-    hot = stored(edges.select(F.explode("leaders").alias("leader"), "bytes").groupBy("leader").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > shard_bytes).select("leader", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("salts")))
-    salted = met.join(F.broadcast(hot) if hot.count() * 64 <= SMALL_BYTES else hot, "leader", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
+    hot, size = counted(edges.select(F.explode("leaders").alias("leader"), "bytes").groupBy("leader").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > shard_bytes).select("leader", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("salts")))
+    salted = met.join(F.broadcast(hot) if size["n"] * 64 <= SMALL_BYTES else hot, "leader", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
     tasks = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("salt", (F.least("block", "other") * 32768 + F.greatest("block", "other")).cast("int")).select("leader", "salt", "doc_id", "block", "leaders", "n", "whole", "text")
     return every, one, tasks.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "doc_id")
 
@@ -243,6 +243,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the least id; all other documents, too, unchanged: null, empty and wordless texts are in no group.
 
     Of rows that repeat an id in a group, all stay or go. An empty table stays empty."""
-    gone = stored(near_documents(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone_")))
-    small = gone.count() * 16 <= SMALL_BYTES
+    gone, size = counted(near_documents(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone_")))
+    small = size["n"] * 16 <= SMALL_BYTES
     return docs.join(gone.hint("broadcast" if small else "shuffle_hash"), F.col("doc_id").cast("long") == F.col("_gone_"), "left_anti")

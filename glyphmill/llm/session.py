@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from functools import wraps
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,6 +36,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, *more: Column) -> tuple[DataFrame, dict]:
+    """As stored, with what is counted while the rows are written: n, their number (a task that ran twice may count twice), and more."""
+    seen = Observation()
+    return stored(df.observe(seen, F.count("*").alias("n"), *more)), seen.get
+
+
 def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id (as long) and text, so that no other column's name can clash; rows without an id or text are left out."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
