@@ -14,7 +14,7 @@ from glyphmill.plans.tasks import read_config, spellcheck
 def main(arguments: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="glyphmill", description="Finds misspelled words.")
     p.add_argument("--version", action="version", version=f"%(prog)s {__version__}")
-    p.add_argument("-v", "--verbose", action="count", default=0, help="say more")
+    p.add_argument("-v", "--verbose", action="count", default=0, help="say more: tasks, their sources, their steps, and at four times what Spark says")
     which = p.add_mutually_exclusive_group()
     which.add_argument("-n", "--name", action="append", help="a task by its name; may be repeated")
     which.add_argument("-g", "--group", action="append", help="tasks by their group; may be repeated")
@@ -28,10 +28,10 @@ def main(arguments: list[str] | None = None) -> int:
     a = p.parse_args(arguments)
     jobs = a.jobs or read_config(a.config).get("jobs", 0)
     spark = SparkSession.builder.master(f"local[{jobs if jobs > 0 else '*'}]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
-    if not a.verbose:
+    if a.verbose < 4:
         spark.sparkContext.setLogLevel("ERROR")
     base = read_wordlists(spark, a.dictionary) if a.dictionary else None
-    text, failed = report(spellcheck(spark, a.config, a.name, a.group, a.source, base, a.spellchecker, a.binary, a.skip_dict_compile).drop("task_no", "task"))
+    text, failed = report(spellcheck(spark, a.config, a.name, a.group, a.source, base, a.spellchecker, a.binary, a.skip_dict_compile, a.verbose).drop("task_no", "task"))
     print(text)
     return int(failed)
 

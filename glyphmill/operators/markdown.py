@@ -1,6 +1,6 @@
 """Markdown as HTML: blocks line by line, then the text inside them.
 
-Extensions: fenced_code (or superfences), tables, footnotes and def_list are left as text, attr_list, toc, admonition, meta and others that only change looks are
+Extensions: fenced_code (or superfences), tables, footnotes, def_list and attr_list are rendered (extra is all of them); toc, admonition, meta and others that only change looks are
 accepted where they leave words alone.
 """
 
@@ -18,6 +18,9 @@ LIST = re.compile(r"^( {0,3})([*+-]|\d{1,9}[.)])(?:[ \t]+|$)")
 RULE = re.compile(r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
 DEFINITION = re.compile(r"^ {0,3}\[(?P<id>[^\]\n]+)\]:[ \t]*<?(?P<url>[^\s>]+)>?[ \t]*(?:[\"'(](?P<title>.*)[\"')])?[ \t]*$")
 
+FOOTNOTE = re.compile(r"^ {0,3}\[\^(?P<id>[^\]\s]+)\]:[ \t]*(?P<text>.*)$")
+DESCRIPTION = re.compile(r"^ {0,3}:[ ]{1,3}(?P<text>.*)$")
+
 
 class Markdown:
     def __init__(self, extensions: set[str]) -> None:
@@ -25,20 +28,72 @@ class Markdown:
         self.tables = bool(extensions & {"tables", "extra"})
         self.attributes = bool(extensions & {"attr_list", "extra"})
         self.breaks = "nl2br" in extensions
+        self.footnotes = bool(extensions & {"footnotes", "extra"})
+        self.descriptions = bool(extensions & {"def_list", "extra"})
 
     def convert(self, text: str) -> str:
         self.links: dict[str, tuple[str, str]] = {}
-        lines, out, fence = text.expandtabs(4).split("\n"), [], None
-        for line in lines:
+        self.notes: dict[str, list[str]] = {}
+        lines, out, fence, note = text.expandtabs(4).split("\n"), [], None, None
+        for i, line in enumerate(lines):
+            if note is not None:  # goes on over indented lines, and over what follows it without a blank one
+                if line.startswith("    ") or not line.strip() or lines[i - 1].strip() and not FOOTNOTE.match(line):
+                    self.notes[note].append(line[4:] if line.startswith("    ") else line)
+                    continue
+                note = None
             m = FENCE.match(line) if self.fences else None
             if m and (fence is None or m["mark"].startswith(fence)):
                 fence = m["mark"] if fence is None else None
+            f = FOOTNOTE.match(line) if self.footnotes and fence is None else None
+            if f:
+                note = f["id"]
+                self.notes[note] = [f["text"]]
+                continue
             d = DEFINITION.match(line) if fence is None else None
             if d and not d["id"].startswith("^"):
                 self.links[" ".join(d["id"].lower().split())] = (d["url"], d["title"] or "")
             else:
                 out.append(line)
-        return "\n".join(self.blocks(out))
+        return "\n".join(self.blocks(out) + self.noted())
+
+    def noted(self) -> list[str]:
+        """The footnotes, at the end."""
+        if not self.notes:
+            return []
+        items = []
+        for k, (name, lines) in enumerate(self.notes.items()):
+            back = f'&#160;<a class="footnote-backref" href="#fnref:{html.escape(name)}" title="Jump back to footnote {k + 1} in the text">&#8617;</a>'
+            body = self.blocks(lines) or ["<p></p>"]
+            body = [*body[:-1], body[-1][:-4] + back + "</p>"] if body[-1].endswith("</p>") else [*body, f"<p>{back}</p>"]
+            items.append(f'<li id="fn:{html.escape(name)}">\n' + "\n".join(body) + "\n</li>")
+        return ['<div class="footnote">\n<hr />\n<ol>\n' + "\n".join(items) + "\n</ol>\n</div>"]
+
+    def described(self, lines: list[str], i: int) -> tuple[int, str] | None:
+        """A list of terms and descriptions from line i on, if one begins there: where it ends, and what it is."""
+        out: list[str] = []
+        while True:
+            j = i
+            while j < len(lines) and lines[j].strip() and not DESCRIPTION.match(lines[j]) and not lines[j].startswith("    "):
+                j += 1
+            k = j + 1 if j < len(lines) and not lines[j].strip() else j
+            if j == i or k >= len(lines) or not DESCRIPTION.match(lines[k]):
+                break
+            out += [f"<dt>{self.inline(x.strip())}</dt>" for x in lines[i:j]]
+            loose, i = k > j, k
+            while i < len(lines) and (m := DESCRIPTION.match(lines[i])):
+                body, i = [m["text"]], i + 1
+                while i < len(lines) and not DESCRIPTION.match(lines[i]):
+                    if not lines[i].strip() and not (i + 1 < len(lines) and lines[i + 1].startswith("    ")):
+                        break
+                    body.append(re.sub("^ {1,4}", "", lines[i]))
+                    i += 1
+                loose |= "" in (x.strip() for x in body)
+                out.append("<dd>" + "\n".join(self.blocks(body, not loose)) + "</dd>")
+                if i + 1 < len(lines) and not lines[i].strip() and DESCRIPTION.match(lines[i + 1]):
+                    loose, i = True, i + 1
+            while i + 1 < len(lines) and not lines[i].strip():
+                i += 1
+        return (i, "<dl>\n" + "\n".join(out) + "\n</dl>") if out else None
 
     def blocks(self, lines: list[str], tight: bool = False) -> list[str]:
         out: list[str] = []
@@ -102,6 +157,10 @@ class Markdown:
                 out.append(f"<table><thead><tr>{head}</tr></thead><tbody>" + "".join(f"<tr>{r}</tr>" for r in body) + "</tbody></table>")
                 i = j
                 continue
+            if self.descriptions and (found := self.described(lines, i)):
+                i = found[0]
+                out.append(found[1])
+                continue
             j = i + 1
             while j < len(lines) and lines[j].strip() and not re.match(r"^ {0,3}(#{1,6}[ \t]|>)", lines[j]) and not RULE.match(lines[j]) and not (self.fences and FENCE.match(lines[j])) and not re.match(r"^ {0,3}=+[ \t]*$", lines[j]):
                 j += 1
@@ -189,6 +248,8 @@ class Markdown:
         text = re.sub(r"<([^\s<>@]+@[^\s<>]+)>", lambda m: keep(f'<a href="mailto:{m[1]}">{m[1]}</a>'), text)
         text = re.sub(r"<!--[\s\S]*?-->|</?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>", lambda m: keep(m[0]), text)
         text = re.sub(r"&(?!#?\w+;)", "&amp;", text).replace("<", "&lt;").replace(">", "&gt;")
+        for k, name in enumerate(self.notes):
+            text = text.replace(f"[^{name}]", keep(f'<sup id="fnref:{html.escape(name)}"><a class="footnote-ref" href="#fn:{html.escape(name)}">{k + 1}</a></sup>'))
         target = r"\((?:<(?P<angled>[^>]*)>|(?P<url>(?:[^\s()]|\([^\s()]*\))*))(?:\s+(?P<title>\"[^\"]*\"|'[^']*'))?\s*\)"
         for _ in range(2):  # an image may be a link's label
             text = re.sub(rf"(!?)\[((?:[^\[\]]|\[[^\[\]]*\])*)\](?:{target}|[ ]?\[(?P<ref>[^\]]*)\]|(?P<alone>))", link, text)

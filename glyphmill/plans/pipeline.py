@@ -202,12 +202,19 @@ def first(files: DataFrame, step: Filter) -> DataFrame:
 
     def apply_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out: list[dict] = []
+            size = 0
             for i in range(len(batch)):
                 raw = batch.column(2)[i].as_py()
                 if raw is None:
                     continue
                 src, context = batch.column(0)[i].as_py(), batch.column(1)[i].as_py() or ""
-                yield pa.RecordBatch.from_pylist([as_row(src, [k], c) for k, c in enumerate(encodings.read(raw, context, step))], schema)
+                out += [as_row(src, [k], c) for k, c in enumerate(encodings.read(raw, context, step))]
+                size += len(raw)
+                if size > 1 << 22:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+                    out, size = [], 0
+            yield pa.RecordBatch.from_pylist(out, schema)
 
     return files.select(F.col("src_id").cast("string"), F.col("context").cast("string"), F.col("raw").cast("binary")).mapInArrow(apply_first, CHUNK)
 

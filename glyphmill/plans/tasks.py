@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 import warnings
 from dataclasses import dataclass, field
 
@@ -161,6 +162,11 @@ class WholeFile(Filter):
         return [Chunk(raw.decode(mark or self.default_encoding, "replace"), context, mark or self.default_encoding, "file")]
 
 
+def log(text: str, level: int, verbose: int) -> None:
+    if verbose >= level:
+        print(text, file=sys.stderr, flush=True)
+
+
 def spellcheck(
     spark: SparkSession,
     config: str | dict = "",
@@ -171,8 +177,9 @@ def spellcheck(
     checker: str = "",
     binary: str = "",
     skip_dict_compile: bool = False,
+    verbose: int = 0,
 ) -> DataFrame:
-    """Results of all chosen tasks of a configuration (a path or a mapping), in one table with the task's number and name.
+    """Results of all chosen tasks of a configuration (a path or a mapping), in one table with the task's number and name. verbose: 1 tells the tasks, 2 their sources and dictionaries, too, 3 their steps and programs' options.
 
     dictionary: words that all tasks know. checker: "builtin", "aspell" or "hunspell"; unset, what the configuration names as "spellchecker", else the built-in one."""
     config = read_config(config) if isinstance(config, str) else config
@@ -181,6 +188,9 @@ def spellcheck(
         raise ValueError(f"{checker!r} is no known checker")
     out = None
     for number, task in enumerate(chosen(tasks(config), names, groups, sources)):
+        log(f"Running task: {task.name}...", 1, verbose)
+        log(f"Sources: {', '.join(task.sources)}; dictionary: {task.dictionary or 'none'}", 2, verbose)
+        log(f"Pipeline: {task.pipeline}; options of {checker}: {getattr(task, checker, {})}", 3, verbose)
         if checker == "builtin":
             found = check.check(chunks_of_task(spark, task), dictionary_of(spark, task, dictionary, skip_dict_compile))
         else:

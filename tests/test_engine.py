@@ -281,6 +281,15 @@ def test_a_chunk_is_computed_once(spark, known):
     assert plan.count("MapInArrow") == 1 and plan.count("BroadcastHashJoin") == 2 and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_verbose(spark, known, tmp_path, capsys):
+    (tmp_path / "a.txt").write_text("yes")
+    task = {"name": "mine", "sources": [f"{tmp_path}/*.txt"], "pipeline": ["text"]}
+    for level, told in ((0, []), (1, ["mine"]), (3, ["mine", "*.txt", "Pipeline"])):
+        tasks.spellcheck(spark, config(task), dictionary=known, verbose=level)
+        said = capsys.readouterr().err
+        assert all(x in said for x in told) and ("Running" in said) == bool(level)
+
+
 def test_large_and_small_dictionaries_agree(spark, known, monkeypatch):
     df = chunks(spark, [("1", "Yes WORD wOrd helo helo", "a"), ("2", "good", "a"), ("3", " ", "a"), ("4", "", "a")])
     small = sorted(check.check(df, known).collect())

@@ -452,3 +452,20 @@ def test_every_filter_takes_empty_and_long_texts():
     assert parse_html("").children[-1].name == "html"
     with pytest.raises(ValueError):
         parse_xml("")
+
+
+def test_markdown_footnotes():
+    text = "One[^a] and two[^long].\n\n[^a]: Note *aaaa*\n    goes on\n\n[^long]:\n    First bbbb\n\n    Second cccc\n\nAfter dddd[^none]\n"
+    html = made(MarkdownFilter({"markdown_extensions": ["footnotes"]}), text)[0].text
+    assert html.index("dddd[^none]") < html.index('<div class="footnote">') < html.index("<em>aaaa</em>") < html.index("Second cccc")
+    assert '<sup id="fnref:a"><a class="footnote-ref" href="#fn:a">1</a></sup>' in html and "One<sup" in html and "goes on&#160;<a" in html and "[^a]:" not in html
+    plain = made(MarkdownFilter(), text)[0].text
+    assert "[^a]" in plain and "footnote" not in plain
+
+
+def test_markdown_descriptions():
+    text = "Intro aaaa\n\nTerm bbbb\n:   What it *is*\n    and more\n\nTwo\nTerms\n\n:   Loose cccc\n\n:   Again\n\n    with dddd\n\nEnd: of it\n"
+    html = made(MarkdownFilter({"markdown_extensions": ["def_list"]}), text)[0].text
+    assert "<dl>\n<dt>Term bbbb</dt>\n<dd>What it <em>is</em>\nand more</dd>" in html
+    assert "<dt>Two</dt>\n<dt>Terms</dt>\n<dd><p>Loose cccc</p></dd>" in html and "<p>with dddd</p></dd>\n</dl>" in html and html.endswith("<p>End: of it</p>")
+    assert "<dl>" not in made(MarkdownFilter(), text)[0].text
