@@ -512,6 +512,8 @@ def test_near_passages_pairs_of_families(spark):
     got = {(x.doc_a, x.doc_b) for x in pairs if x.doc_a < x.doc_b}
     assert len(want) > 400 and len(got & want) >= 0.9 * len(want)
     assert {(x.doc_a, x.doc_b) for x in compact_windows.near_pairs(df, group_keys=40).collect()} == {(x.doc_a, x.doc_b) for x in pairs}
+    assert len(compact_windows.hot_keys(df, n, size, compact_windows.HASHES, 1)[0]) > 10  # nor does it change anything if values are taken for hot
+    assert {(x.doc_a, x.doc_b) for x in compact_windows.near_pairs(df, sample=1).collect()} == {(x.doc_a, x.doc_b) for x in pairs}
     rows = compact_windows.near_passages(df).collect()
     assert {x.doc_id for x in rows} == {x.doc_a for x in pairs}
     # the windows tried for a class are those of its first part in a task: how a group is cut into blocks may move the ends of a few passages that barely reach the threshold
@@ -682,7 +684,8 @@ def test_matrix_opens_few_groups():
 def test_every_document_has_one_passage(spark):
     r = random.Random(31)
     same = prose(r, 120, voc(2000, 4))
-    df = spark.createDataFrame([(i, " ".join(prose(r, 10, voc(2000, 4)) + same + prose(r, 10, voc(2000, 4)))) for i in range(300)], "doc_id long, text string")
+    own = lambda i, k: [f"w{i}x{k}x{n}" for n in range(10)]
+    df = spark.createDataFrame([(i, " ".join(own(i, 0) + same + own(i, 1))) for i in range(300)], "doc_id long, text string")
     got = {x.doc_id: x for x in jaccard_join.near_documents(df, shard_bytes=20_000).collect()}
     assert set(got) == set(range(300)) and {x.class_id for x in got.values()} == {0} and all(x.n_links == 299 for x in got.values())
     found = suffix_dedup.repeats(df, shard_anchors=50).collect()
