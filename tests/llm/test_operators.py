@@ -492,6 +492,42 @@ def test_links_of_passages_are_counted_as_listed(spark):
     assert all(50 <= x.start_word <= 70 and 130 <= x.end_word <= 150 for x in first)  # of a window of 46, at least 31 are common
 
 
+def test_compared_work_of_repeated_words_and_short_boilerplate(monkeypatch):
+    """Links equal those of a plain comparison; runs of a repeated word are looked up as runs, and texts with too few common n-grams not at all."""
+    r = random.Random(31)
+    words = voc(3000, 8)
+    short = prose(r, 20, words)
+    looked, plain = [], compact_windows.Links.compared
+
+    def compared(self, x, y, least, largest, first, stop):
+        found = plain(self, x, y, least, largest, first, stop)
+        p, got = self.p, []
+        for k in range(len(x)):
+            of_y = [z for z in range(len(self.one)) if self.one[z] == y[k]]
+            hits = [int(p.at[i]) for i in range(first[k], stop[k]) if any(p.code[z] == p.code[i] and p.at[i] + least[k] - self.slack <= p.at[z] <= p.at[i] + largest[k] + self.slack for z in of_y)]
+            looked.append((len(self.begin), len(self.one)))
+            got += [(x[k], y[k], a, b, s) for _, a, b, s in zip(*self.runs(np.zeros(len(hits), np.int64), np.array(hits, np.int64)))]
+        assert got == list(zip(found[0], found[1], found[2], found[3], found[5]))
+        return found
+
+    monkeypatch.setattr(compact_windows.Links, "compared", compared)
+
+    def of(texts):
+        rows = pa.table({"shard": pa.array([0] * len(texts)), "salt": pa.array([0] * len(texts), pa.int32()), "doc_id": pa.array(range(len(texts))), "at": pa.array([0] * len(texts)), "block": pa.array([0] * len(texts), pa.int32()), "text": texts})
+        return compact_windows.Links(compact_windows.Parts(rows, 5, 46, 31), 46, 8, 2, 31, 8)
+
+    a, b, c = words[:3]
+    found = of([" ".join([a] * r.randrange(45, 80) + [b] * r.randrange(1, 70) + [a] * r.randrange(9) + [c] * r.randrange(45, 80)) for _ in range(9)])
+    assert sum(len(x[0]) for x in found) > 30
+    assert looked and all(runs * 4 < every for runs, every in looked)
+    # what is not compared at all is told from how many n-grams two classes have in common
+    halves = [prose(r, 40, words) for _ in range(8)]
+    found = of([" ".join(halves[k] + short + halves[(k + 1) % 8] + short[:9] + halves[k + 4 & 7]) for k in range(8)])
+    p, classes = found.p, found.classes
+    codes = [p.code[a : a + n].tolist() for a, n in zip(p.start, p.many)]
+    assert [found.common(c, c + 1)[0].tolist() for c in range(classes)] == found.common(0, classes).tolist() == [[sum(z in set(y) for z in x) for y in codes] for x in codes]
+
+
 def test_near_passages_pairs_of_families(spark):
     r = random.Random(17)
     words = voc(3000, 8)
