@@ -408,6 +408,14 @@ def decoded(ids: F.Column, path: str = MODEL) -> F.Column:
     return apply(ids)
 
 
+def coded(batches: Iterator[pa.Array], path: str) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+    """Slices of the texts of batches, their ids and what these give back: what a worker holds besides a batch is a slice's, not a batch's, which may be 64 MB."""
+    for column in batches:
+        for _, part in slices(column.cast(pa.large_string()), 1 << 19):
+            ids = encode(part, path)
+            yield part, ids, decode(ids, vocabulary(path))
+
+
 def codec(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids and decoded (the text that the ids give back, which equals the one encoded): one row for each row.
 
@@ -417,9 +425,9 @@ def codec(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col:
 
     # both ways in one function: decoding a column that another function gives would encode it a second time
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")
-    def both(column: pa.Array) -> pa.Array:
-        ids = encode(column, path)
-        return pa.StructArray.from_arrays([ids, decode(ids, vocabulary(path))], ["ids", "decoded"])
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for _, ids, text in coded(batches, path):
+            yield pa.StructArray.from_arrays([ids, text], ["ids", "decoded"])
 
     return docs.select(F.col(id_col).alias("doc_id"), both(F.col(text_col).cast("string")).alias("r")).select("doc_id", "r.*")
 
@@ -434,9 +442,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of a null text all three are null; an empty text has no ids, and comes back; very long texts are encoded through a bounded window; repeated rows repeat; columns called ids, n_tokens, round_trip or _codec_ are replaced; an empty table gives none."""
 
     @F.arrow_udf("struct<ids:array<int>,round_trip:boolean>")
-    def both(column: pa.Array) -> pa.Array:
-        ids = encode(column, MODEL)
-        return pa.StructArray.from_arrays([ids, pc.equal(decode(ids, vocabulary(MODEL)), column.cast(pa.string()))], ["ids", "round_trip"])
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for part, ids, text in coded(batches, MODEL):
+                yield pa.StructArray.from_arrays([ids, pc.equal(text, part.cast(pa.string()))], ["ids", "round_trip"])
+        finally:  # what other stages left of an executor's memory is less than a query has
+            encoder(MODEL).known.clear()
+            released()
 
     kept = [c for c in docs.columns if c not in ("text", "n_chars", "ids", "n_tokens", "round_trip", "_codec_")]
     found = docs.withColumn("_codec_", both(F.col("text").cast("string")))

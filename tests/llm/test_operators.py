@@ -323,6 +323,15 @@ def test_sentencepiece_streams_with_a_bounded_window():
     assert len(early) > 20
 
 
+@tokenizers
+def test_sentencepiece_holds_a_slice_of_a_batch():
+    texts = ["the and of " * 9000, None, "", "é" * 9] * 30 + ["a b " * 200_000]
+    got = list(sentencepiece_codec.coded(iter([pa.array(texts), pa.array([], pa.string()), pa.array(["x"])]), sentencepiece_codec.MODEL))
+    assert [t for part, _, _ in got for t in part.to_pylist()] == [t for _, _, text in got for t in text.to_pylist()] == [*texts, "x"]
+    assert [x for _, ids, _ in got for x in ids.to_pylist()] == sentencepiece_codec.encode(pa.array([*texts, "x"]), sentencepiece_codec.MODEL).to_pylist()
+    assert len(got) > 6 and all(len(part) == len(ids) == len(text) and (len(part) == 1 or text.nbytes < 600_000) for part, ids, text in got)
+
+
 @tokenizers
 def test_unknown_ids_decode_to_nothing():
     v = sentencepiece_codec.vocabulary(sentencepiece_codec.MODEL)
