@@ -277,6 +277,13 @@ def test_html_modes():
         HtmlFilter({"mode": "sgml"})
 
 
+def test_names_without_semicolon():
+    page = '<p>x &amp y&amp;&am</p><!-- &amp &lt; --><p>&#38 &copy;&notit; &copyx &nope;</p><i title="a&ampb&lt;"></i><script>a&ampb</script>'
+    step = lambda mode: pairs(HtmlFilter({"mode": mode, "attributes": ["title"]}), page)
+    assert [t for _, t in step("html")] == ["&amp &lt;", "a&ampb<", "x &amp y&&am", "& ©&notit; &copyx &nope;"]
+    assert [t for _, t in step("html5")][2:] == ["x & y&&am", "& ©¬it; ©x &nope;"]
+
+
 DOM = """<html><body><div id="a" class="one two" lang="en-GB" data-x="v w"><p id="p1">x</p><p id="p2"></p><span id="s"><b id="b"></b></span><p id="p3">z</p></div><div id="e"> </div>"""
 
 
