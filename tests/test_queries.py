@@ -75,3 +75,7 @@ CUT = ["<html><head><title>Dogs &amp;&amp</title></head><body><h1>Dogs &amp;&amp
 
 def test_references_cut_in_the_middle(spark, tmp_path):
     sql_agrees(spark, tmp_path, "html_blocks", pages={"page_id": [1, 2], "html": CUT})
+
+
+def test_references_cut_in_files(spark, tmp_path):
+    sql_agrees(spark, tmp_path, "html_files", pages={"page_id": [1, 2, 3], "html": [*CUT, '<meta charset="utf-8"><p>é&eacute</p>']})
