@@ -79,3 +79,12 @@ def test_references_cut_in_the_middle(spark, tmp_path):
 
 def test_references_cut_in_files(spark, tmp_path):
     sql_agrees(spark, tmp_path, "html_files", pages={"page_id": [1, 2, 3], "html": [*CUT, '<meta charset="utf-8"><p>é&eacute</p>']})
+
+
+def test_declared_xml_of_blank_texts(spark, tmp_path):
+    sql_agrees(spark, tmp_path, "xml_declared_files", documents={"doc_id": [1, 2, 3, 4, 5], "text": ["", " \n ", " a ]]> b\t", None, "\r\n<&é"]})
+
+
+@pytest.mark.parametrize("name", ["xml_text", "odf_text"])
+def test_end_of_cdata_in_texts(spark, tmp_path, name):
+    sql_agrees(spark, tmp_path, name, documents={"doc_id": [1, 2], "text": ["a ]]> b", "]]]>"], "lang": ["en", "fr"], "source": ["x", "y"]})
