@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from glyphmill.functions import encodings
+from glyphmill.functions.batches import PART, parts, tidied
 from glyphmill.model import ALLOW, CHUNK, HALT, Chunk, Filter, FlowControl, Step
 from glyphmill.operators import markdown, markup, plain, python_source, source_code
 
@@ -119,7 +120,7 @@ def apply(chunks: DataFrame, steps: list[Step], categories: set[str] | None = No
             return df
         done = list(pending)
         pending.clear()
-        return df.mapInArrow(python_steps(done), CHUNK)
+        return df.mapInArrow(tidied(python_steps(done)), CHUNK)
 
     for g in guard(steps):
         routed = flow(g.control, F.col("category"), known) if g.control else (F.lit(True), F.lit(False))
@@ -143,6 +144,23 @@ def apply(chunks: DataFrame, steps: list[Step], categories: set[str] | None = No
     return flush(chunks).select(*[F.col(f.name) for f in CHUNK])
 
 
+TEXT, RAW = CHUNK.names.index("text"), CHUNK.names.index("raw")
+
+
+def filled(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Chunks as batches of about PART characters, unless one has more."""
+    out: list[dict] = []
+    size = 0
+    for row in rows:
+        out.append(row)
+        size += len(row["text"] or "") + len(row["raw"] or b"")
+        if size > PART:
+            yield pa.RecordBatch.from_pylist(out, schema)
+            out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+
 def python_steps(guards: list[Guarded]):
     """Steps as one function over batches of chunks."""
     schema = to_arrow_schema(CHUNK)
@@ -167,16 +185,8 @@ def python_steps(guards: list[Guarded]):
 
     def apply_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[dict] = []
-            size = 0
-            for start in range(0, len(batch), 64):
-                for row in run(batch.slice(start, 64).to_pylist()):
-                    out.append(row)
-                    size += len(row["text"] or "")
-                if size > 1 << 22:
-                    yield pa.RecordBatch.from_pylist(out, schema)
-                    out, size = [], 0
-            yield pa.RecordBatch.from_pylist(out, schema)
+            for part in parts(batch, TEXT, RAW):
+                yield from filled(run(part.to_pylist()), schema)
 
     return apply_all
 
@@ -199,24 +209,20 @@ def as_row(src_id: str, path: list[int], c: Chunk) -> dict:
 def first(files: DataFrame, step: Filter) -> DataFrame:
     """Chunks of files (src_id, context, raw: binary) by a pipeline's first step, which finds the encoding."""
     schema = to_arrow_schema(CHUNK)
+    files = files.select(F.col("src_id").cast("string"), F.coalesce(F.col("context").cast("string"), F.lit("")).alias("context"), F.col("raw").cast("binary")).where("raw is not null")
+
+    def chunks(batch: pa.RecordBatch) -> Iterator[dict]:
+        for i in range(len(batch)):
+            src, context, raw = (batch.column(k)[i].as_py() for k in range(3))
+            for k, c in enumerate(encodings.read(raw, context, step)):
+                yield as_row(src, [k], c)
 
     def apply_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[dict] = []
-            size = 0
-            for i in range(len(batch)):
-                raw = batch.column(2)[i].as_py()
-                if raw is None:
-                    continue
-                src, context = batch.column(0)[i].as_py(), batch.column(1)[i].as_py() or ""
-                out += [as_row(src, [k], c) for k, c in enumerate(encodings.read(raw, context, step))]
-                size += len(raw)
-                if size > 1 << 22:
-                    yield pa.RecordBatch.from_pylist(out, schema)
-                    out, size = [], 0
-            yield pa.RecordBatch.from_pylist(out, schema)
+            for part in parts(batch, 2):
+                yield from filled(chunks(part), schema)
 
-    return files.select(F.col("src_id").cast("string"), F.col("context").cast("string"), F.col("raw").cast("binary")).mapInArrow(apply_first, CHUNK)
+    return files.mapInArrow(tidied(apply_first), CHUNK)
 
 
 def chunks_of(df: DataFrame, id_col: str, text_col: str, category: Column | str = "text", context: Column | None = None) -> DataFrame:

@@ -2,11 +2,13 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from glyphmill.functions.batches import PART, parts
 from glyphmill.functions.globs import Matcher, PatternLimitError
-from glyphmill.model import Filter, FlowControl
+from glyphmill.model import CHUNK, Filter, FlowControl
 from glyphmill.operators import check, external, lines
 from glyphmill.operators.plain import ContextFilter, UrlFilter
 from glyphmill.plans import pipeline, tasks
@@ -331,3 +333,15 @@ def test_stream(spark, known, tmp_path):
 def test_a_large_dictionary_is_not_broadcast(spark, known):
     assert "broadcast" in check.sized(known)._jdf.queryExecution().toString().lower()
     assert "broadcast" not in check.sized(known, 10)._jdf.queryExecution().toString().lower()
+
+
+def test_rows_of_a_batch_are_taken_by_their_bytes():
+    """What a worker makes of a batch leaves it in parts, however many rows the batch has."""
+    text, n = "let a = '" + "x" * 10_000 + "';", 500
+    row = {"src_id": "1", "path": [0], "text": text, "raw": None, "context": "f", "encoding": "utf-8", "category": "text", "error": None, "halted": False}
+    batch = pa.RecordBatch.from_pylist([row] * n, pipeline.to_arrow_schema(CHUNK))
+    steps = pipeline.guard(pipeline.build(["text", {"javascript": {"strings": True}}])[1:])
+    made = list(pipeline.python_steps(steps)(iter([batch])))
+    assert sum(len(b) for b in made) == n and max(b.nbytes for b in made) < 1.2 * PART
+    texts = pa.RecordBatch.from_arrays([pa.array(["a" * (3 * PART), None, "b", "c" * PART, ""])], ["text"])
+    assert [len(p) for p in parts(texts, 0)] == [1, 2, 1, 1]
