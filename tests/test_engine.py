@@ -1,6 +1,7 @@
 """Pipelines, tasks, the checker and the sources on Spark."""
 
 import os
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -345,3 +346,18 @@ def test_rows_of_a_batch_are_taken_by_their_bytes():
     assert sum(len(b) for b in made) == n and max(b.nbytes for b in made) < 1.2 * PART
     texts = pa.RecordBatch.from_arrays([pa.array(["a" * (3 * PART), None, "b", "c" * PART, ""])], ["text"])
     assert [len(p) for p in parts(texts, 0)] == [1, 2, 1, 1]
+
+
+def test_lines_of_a_program_are_not_held(tmp_path):
+    """Of what a program prints for a file only the distinct lines come to memory."""
+    command = ["awk", "BEGIN { for (i = 0; i < 400000; i++) print i % 7 ? \"word\" : \"other\\r\" }"]
+    peaks = []
+    for run in (external.ask, external.ask_distinct):
+        tracemalloc.start()
+        assert sorted(set(run(command, None))) == ["other", "word"]
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1 << 20 < peaks[0]
+    assert external.ask_distinct(["cat"], b"b\na\n\nb") == ["a", "b"]
+    with pytest.raises(RuntimeError, match="no such"):
+        external.ask_distinct(["sh", "-c", "echo no such; exit 3"], None)
