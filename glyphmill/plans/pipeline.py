@@ -210,6 +210,8 @@ def first(files: DataFrame, step: Filter) -> DataFrame:
     """Chunks of files (src_id, context, raw: binary) by a pipeline's first step, which finds the encoding."""
     schema = to_arrow_schema(CHUNK)
     files = files.select(F.col("src_id").cast("string"), F.coalesce(F.col("context").cast("string"), F.lit("")).alias("context"), F.col("raw").cast("binary")).where("raw is not null")
+    if type(step) is plain.TextFilter and step.column(F.col("raw")) is not None and step.default_encoding in ("utf-8", "utf8"):
+        return first_text(files, step)
 
     def chunks(batch: pa.RecordBatch) -> Iterator[dict]:
         for i in range(len(batch)):
@@ -225,6 +227,30 @@ def first(files: DataFrame, step: Filter) -> DataFrame:
     return files.mapInArrow(tidied(apply_first), CHUNK)
 
 
+def first_text(files: DataFrame, step: plain.TextFilter) -> DataFrame:
+    """As first, for text as it is with UTF-8 for its default: a file in UTF-8 without a mark is its text, and only others come to Python."""
+    found = F.col("raw").cast("string")
+    easy = F.is_valid_utf8(found) & (F.length("raw") > 0) & encodings.mark_column(F.col("raw")).isNull()
+    kind = pa.struct([(name, pa.string()) for name in ("text", "encoding", "error")])
+
+    def read(raws: pa.Array, contexts: pa.Array) -> pa.Array:
+        made = [None if raw is None else encodings.read(raw.as_py(), context.as_py(), step)[0] for raw, context in ((r if r.is_valid else None, c) for r, c in zip(raws, contexts))]
+        return pa.array([None if c is None else {"text": c.text, "encoding": c.encoding, "error": c.error} for c in made], kind)
+
+    other = files.select("src_id", "context", F.when(easy, found).alias("text"), F.arrow_udf(read, "struct<text:string,encoding:string,error:string>")(F.when(~easy, F.col("raw")), F.col("context")).alias("other"))
+    mine = F.col("text").isNotNull()
+    values = {
+        "path": F.array(F.lit(0)),
+        "text": F.when(mine, F.col("text")).otherwise(F.col("other.text")),
+        "raw": F.lit(None).cast("binary"),
+        "encoding": F.when(mine, F.lit("utf-8")).otherwise(F.col("other.encoding")),
+        "category": F.when(F.col("other.error").isNull(), F.lit("text")).otherwise(F.lit("")),
+        "error": F.col("other.error"),
+        "halted": F.lit(False),
+    }
+    return other.select(*(values[n].alias(n) if n in values else F.col(n) for n in CHUNK.names))
+
+
 def chunks_of(df: DataFrame, id_col: str, text_col: str, category: Column | str = "text", context: Column | None = None) -> DataFrame:
     """A table's texts as chunks; rows without id or text are left out, rows that repeat an id are chunks of one source."""
     src = F.col(id_col).cast("string")

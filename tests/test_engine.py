@@ -7,11 +7,12 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from glyphmill.functions import encodings
 from glyphmill.functions.batches import PART, parts
 from glyphmill.functions.globs import Matcher, PatternLimitError
 from glyphmill.model import CHUNK, Filter, FlowControl
 from glyphmill.operators import check, external, lines
-from glyphmill.operators.plain import ContextFilter, UrlFilter
+from glyphmill.operators.plain import ContextFilter, TextFilter, UrlFilter
 from glyphmill.plans import pipeline, tasks
 from glyphmill.sources import files
 from glyphmill.streaming.check_stream import misspelled_stream
@@ -361,3 +362,14 @@ def test_lines_of_a_program_are_not_held(tmp_path):
     assert external.ask_distinct(["cat"], b"b\na\n\nb") == ["a", "b"]
     with pytest.raises(RuntimeError, match="no such"):
         external.ask_distinct(["sh", "-c", "echo no such; exit 3"], None)
+
+
+def test_text_files_in_the_jvm(spark):
+    """Files in UTF-8 don't come to Python; what it makes of all others is the same."""
+    raws = [b"plain", "é ü\r\n".encode(), b"", None, b"\xef\xbb\xbfmark", "ä".encode("utf-16"), b"\xff\xfa\xfb", "x\ud800".encode("utf-8", "surrogatepass"), b"\x00"]
+    found = spark.createDataFrame([(str(i), f"c{i}", raw) for i, raw in enumerate(raws)], "src_id string, context string, raw binary")
+    chunks = pipeline.first(found, TextFilter())
+    assert "MapInArrow" not in chunks._jdf.queryExecution().toString()
+    got = {r.src_id: (r.text, r.context, r.encoding, r.category, r.error) for r in chunks.collect()}
+    want = {str(i): encodings.read(raw, f"c{i}", TextFilter())[0] for i, raw in enumerate(raws) if raw is not None}
+    assert got == {k: (c.text, c.context, c.encoding, c.category, c.error) for k, c in want.items()}
