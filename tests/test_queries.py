@@ -58,6 +58,13 @@ def test_markdown_query(spark):
     assert rows and not any({"notaword", "alsonot"} & set(r.words.split("\n")) for r in rows)
 
 
+def test_words_of_markdown_are_not_shuffled_again(spark):
+    """After the check a chunk's words stay one row: nothing is partitioned by document and word."""
+    plan = catalogue.queries()["markdown_to_html_words"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    by = [line for line in plan.split("\n") if "hashpartitioning(" in line]
+    assert by and not any("word#" in line.split("hashpartitioning(")[1] for line in by)
+
+
 def sql_agrees(spark, folder, name, **tables):
     """A query against its SQL, over tables of a few rows."""
     con = duckdb.connect()
