@@ -373,3 +373,13 @@ def test_text_files_in_the_jvm(spark):
     got = {r.src_id: (r.text, r.context, r.encoding, r.category, r.error) for r in chunks.collect()}
     want = {str(i): encodings.read(raw, f"c{i}", TextFilter())[0] for i, raw in enumerate(raws) if raw is not None}
     assert got == {k: (c.text, c.context, c.encoding, c.category, c.error) for k, c in want.items()}
+
+
+def test_expressions_of_filters_are_computed_once(spark):
+    """The plan of a check has the links' pattern once for each use that the filter makes of it, not again for blank texts and for words."""
+    chunks = pipeline.chunks_of(spark.createDataFrame([(1, "see www.a.org now"), (2, " "), (3, "www.a.org")], "id long, text string"), "id", "text")
+    plain = pipeline.apply(chunks, pipeline.build(["text", {"url": {"emails": False}}])[1:], {"text"})
+    times = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("https?|ftps?")
+    results = check.check(plain, spark.createDataFrame([("see",)], "word string"))
+    assert times(results) == times(plain)
+    assert {r.src_id: r.words for r in results.collect()} == {"1": ["now"]}
